@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +16,8 @@ MAX_REPEATS = 3
 FANOUT = 1024
 LEVELS = 3
 TREE_DEPTH = 4
+FILL_ROUNDS = 3
+BROADCAST_SOURCES = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
@@ -105,7 +110,7 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MA
     ws = ws or Workspace(df.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_SQL)), F.lit(0)).cast("long")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    docs = ws.write(df.select("doc_id", "source", size.alias("size"), h.alias("h")), "docs")
+    docs = ws.write(df.select("doc_id", "source", size.alias("size"), h.alias("h"), F.monotonically_increasing_id().alias("rid")), "docs")
     # blocks of the first level: at most FANOUT a source
     block = [F.pmod(F.shiftrightunsigned("h", 10 * i), F.lit(FANOUT)).alias(f"b{i}") for i in range(LEVELS)]
     docs = docs.select("*", *block)
@@ -114,59 +119,62 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MA
     whole = F.least(F.lit(cap), F.floor(F.try_divide("target", "source_size") + 1e-9)).cast("int")
     plan = ws.write(targets.withColumn("passes", F.coalesce(whole, F.lit(0))).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "plan")
 
+    small = plan.count() <= BROADCAST_SOURCES
+    bounded = lambda t: F.broadcast(t) if small else t
+
     # how far the rest reaches, level by level: (source, path of the block that is cut, words still wanted)
-    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
     cut = plan.select("source", "rest")
     path: list[str] = []
+    ends = plan
     for i in range(LEVELS):
         keys = ["source", *path, f"b{i}"]
         at = cut.select(F.col("source").alias("s_"), *[F.col(p).alias(f"{p}_") for p in path], "rest")
-        on = [docs["source"].eqNullSafe(at["s_"]), *[docs[p] == at[f"{p}_"] for p in path]]
-        level = sums.select("source", "b0", "words") if i == 0 else docs.join(F.broadcast(at), on).groupBy(*keys).agg(F.sum("size").alias("words"))
-        level = level.join(F.broadcast(at), [level["source"].eqNullSafe(at["s_"]), *[level[p] == at[f"{p}_"] for p in path]]).select(*[level[c] for c in keys], "words", "rest")
-        run = F.sum("words").over(W.partitionBy("source").orderBy(f"b{i}"))
-        level = level.withColumn("run", run)
+        on = lambda t, at=at, path=path: t["source"].eqNullSafe(at["s_"]) & reduce(and_, [t[p] == at[f"{p}_"] for p in path], F.lit(True))
+        level = sums if i == 0 else docs.join(bounded(at), on(docs)).groupBy(*keys).agg(F.sum("size").alias("words"))
+        level = level.join(bounded(at), on(level)).select(*[level[c] for c in keys], "words", "rest")
+        level = level.withColumn("run", F.sum("words").over(W.partitionBy("source").orderBy(f"b{i}")))
         first = F.min(F.when(F.col("run") > F.col("rest"), F.col(f"b{i}"))).over(W.partitionBy("source"))
-        level = ws.write(level.withColumn("first", first), f"level-{i}")
-        cut = level.where(F.col(f"b{i}") == F.col("first")).select("source", *path, f"b{i}", (F.col("rest") - F.col("run") + F.col("words")).alias("rest"))
+        cut = level.withColumn("first", first).where(F.col(f"b{i}") == F.col("first"))
+        cut = ws.write(cut.select("source", *path, f"b{i}", (F.col("rest") - F.col("run") + F.col("words")).alias("rest")), f"cut-{i}")
+        f = cut.select(F.col("source").alias("s_"), F.col(f"b{i}").alias(f"f{i}"))
+        ends = ends.join(bounded(f), ends["source"].eqNullSafe(f["s_"]), "left").drop("s_")
         path = [*path, f"b{i}"]
-    cut = ws.write(cut, "cut")
-
-    # one row a source: the block path where the rest ends
-    ends = plan.alias("p")
-    for i in range(LEVELS):
-        f = ws.spark.read.parquet(ws.path(f"level-{i}")).groupBy("source").agg(F.min("first").alias(f"f{i}")).alias(f"l{i}")
-        ends = ends.join(F.broadcast(f), F.col("p.source").eqNullSafe(F.col(f"l{i}.source")), "left").select("p.*", f"f{i}").alias("p")
     ends = ws.write(ends.withColumnRenamed("source", "s_"), "ends")
-    d = docs.join(F.broadcast(ends), docs["source"].eqNullSafe(ends["s_"]), "left").drop("s_")
-    # inside the last cut block: documents from the longest on, each if it still fits
-    inside = d.where((F.col("b0") == F.col("f0")) & (F.col("b1") == F.col("f1")) & (F.col("b2") == F.col("f2")))
-    inside = inside.select("source", "doc_id", "size", "h")
-    c = cut.select(F.col("source").alias("s_"), "rest")
-    tail = inside.join(F.broadcast(c), inside["source"].eqNullSafe(c["s_"])).drop("s_")
-    fits = F.aggregate(
-        F.reverse(F.array_sort(F.collect_list(F.struct("size", "h")))), F.struct(F.first("rest").alias("room"), F.array().cast("array<struct<size:bigint,h:bigint>>").alias("in")),
-        lambda a, x: F.struct((a["room"] - F.when(x["size"] <= a["room"], x["size"]).otherwise(0)).alias("room"), F.when(x["size"] <= a["room"], F.concat(a["in"], F.array(x))).otherwise(a["in"]).alias("in")),
-    )
-    got = tail.groupBy("source").agg(fits["in"].alias("in")).select("source", F.explode("in").alias("x")).select("source", "x.size", "x.h").groupBy("source", "size", "h").count()
-    got = ws.write(got.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("h").alias("h_"), F.col("count").alias("n_")), "tail")
+
+    d = docs.join(bounded(ends), docs["source"].eqNullSafe(ends["s_"]), "left").drop("s_")
     under = lambda i: F.coalesce(F.col(f"b{i}") < F.col(f"f{i}"), F.lit(True))
     on_edge = lambda i: F.coalesce(F.col(f"b{i}") == F.col(f"f{i}"), F.lit(False))
     before = under(0) | (on_edge(0) & (under(1) | (on_edge(1) & under(2))))
     last = on_edge(0) & on_edge(1) & on_edge(2)
-    nth = F.row_number().over(W.partitionBy("source", "size", "h").orderBy("doc_id"))
-    edge = d.where(last).withColumn("nth", nth)
-    edge = edge.join(F.broadcast(got), edge["source"].eqNullSafe(got["s_"]) & (edge["size"] == got["z_"]) & (edge["h"] == got["h_"]), "left").withColumn("extra", (F.col("nth") <= F.coalesce("n_", F.lit(0))).cast("int")).drop("s_", "z_", "h_", "n_", "nth")
-    d = d.where(~last).withColumn("extra", (before & (F.col("rest") > 0)).cast("int")).unionByName(edge)
-
-    # block quotas: every source's blocks, once a pass and once for the rest
-    drawn = sums.join(F.broadcast(ends), sums["source"].eqNullSafe(ends["s_"])).select(sums["source"], "b0", F.explode(F.sequence(F.lit(0), F.col("passes") - F.when((F.col("rest") > 0) & (F.coalesce(F.col("b0") <= F.col("f0"), F.lit(True))), 0).otherwise(1))).alias("pass"), "passes")
-    drawn = drawn.where((F.col("pass") >= 0) & (F.col("pass") <= F.col("passes"))).select("source", "b0", "pass")
+    d = ws.write(d.withColumn("extra", (before & ~last & (F.col("rest") > 0)).cast("int")).withColumn("last", last), "marked")
+    # inside the last cut block: documents from the longest on, each if it still fits
+    c = cut.select(F.col("source").alias("s_"), F.col("rest").alias("room"))
+    tail = d.where("last").select("source", "rid", "size", "h").join(bounded(c), F.col("source").eqNullSafe(F.col("s_")))
+    item = "array<struct<size:bigint,h:bigint,rid:bigint>>"
+    fits = F.aggregate(
+        F.reverse(F.array_sort(F.collect_list(F.struct("size", "h", "rid")))), F.struct(F.first("room").alias("room"), F.array().cast(item).alias("in")),
+        lambda a, x: F.struct((a["room"] - F.when(x["size"] <= a["room"], x["size"]).otherwise(0)).alias("room"), F.when(x["size"] <= a["room"], F.concat(a["in"], F.array(x))).otherwise(a["in"]).alias("in")),
+    )
+    picks = ws.write(tail.groupBy("source").agg(fits["in"].alias("in")).select(F.explode("in.rid").alias("p_")), "picks-0")
+    # what is still missing: the longest document that fits, some more times
+    for i in range(FILL_ROUNDS):
+        d = d.join(bounded(picks), F.col("rid") == F.col("p_"), "left").withColumn("extra", F.when(F.col("p_").isNotNull(), 1).otherwise(F.col("extra"))).drop("p_")
+        d = ws.write(d, f"filled-{i}")
+        gap = d.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * (F.col("passes") + F.col("extra")))).alias("gap")).select(F.col("source").alias("s_"), "gap")
+        more = d.where(f"extra = 0 and passes < {cap} and size > 0").join(bounded(gap), F.col("source").eqNullSafe(F.col("s_")) & (F.col("size") <= F.col("gap")))
+        picks = ws.write(more.groupBy("source").agg(F.max(F.struct("size", "h", "rid")).alias("m")).select(F.col("m.rid").alias("p_")), f"picks-{i + 1}")
+    d = d.join(bounded(picks), F.col("rid") == F.col("p_"), "left").withColumn("extra", F.when(F.col("p_").isNotNull(), 1).otherwise(F.col("extra"))).drop("p_")
+    d = ws.write(d, "taken")
+
+    # block quotas: every source's blocks, once a pass, and once more those that the rest takes from
+    some = d.groupBy("source", "b0").agg(F.max("extra").alias("some"), F.max("passes").alias("passes"))
+    drawn = some.select("source", "b0", F.explode(F.sequence(F.lit(0), F.col("passes") + F.col("some"))).alias("pass"), "passes", "some")
+    drawn = drawn.where(F.col("pass") < F.col("passes") + F.col("some")).select("source", "b0", "pass")
     order = F.row_number().over(W.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed + 1), "b0", "pass"))) - 1
     drawn = ws.write(drawn.withColumn("nth", order), "drawn")
     shards = ws.write(split_quotas(drawn.groupBy("source").agg(F.count(F.lit(1)).alias("quota")), depth, seed), "shards").where("blocks > 0")
     s2 = shards.select(F.col("source").alias("s_"), "shard", "first", "blocks")
-    hit = drawn.join(F.broadcast(s2), drawn["source"].eqNullSafe(s2["s_"]) & (drawn["nth"] >= s2["first"]) & (drawn["nth"] < s2["first"] + s2["blocks"]))
+    hit = drawn.join(bounded(s2), drawn["source"].eqNullSafe(s2["s_"]) & (drawn["nth"] >= s2["first"]) & (drawn["nth"] < s2["first"] + s2["blocks"]))
     places = ws.write(hit.groupBy(drawn["source"], "b0").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("at")).select(F.col("source").alias("s_"), F.col("b0").alias("b_"), "at"), "places")
     d = d.join(places, d["source"].eqNullSafe(places["s_"]) & (d["b0"] == places["b_"]), "left")
     repeats = F.coalesce(F.col("passes"), F.lit(0)) + F.coalesce(F.col("extra"), F.lit(0))
