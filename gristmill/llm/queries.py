@@ -17,12 +17,30 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats", "placements")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_round_trip
+
+    return token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -45,5 +63,7 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mix_sources": op2_mix_sources, "op5_shard_tree": op5_shard_tree, "op9_exact_topk": op9_exact_topk}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_mix_sources, op4_token_frames, op5_shard_tree, op8_pack_sequences, op9_exact_topk)
+}
 ORACLES: dict[str, str] = {"op9_exact_topk": OP9_SQL}
