@@ -17,6 +17,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats", "placements")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -64,6 +70,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op4_token_frames, op5_shard_tree, op8_pack_sequences, op9_exact_topk)
+    f.__name__: f for f in (op2_mix_sources, op3_quality, op4_token_frames, op5_shard_tree, op8_pack_sequences, op9_exact_topk)
 }
 ORACLES: dict[str, str] = {"op9_exact_topk": OP9_SQL}
