@@ -41,6 +41,12 @@ def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -70,6 +76,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_quality, op4_token_frames, op5_shard_tree, op8_pack_sequences, op9_exact_topk)
+    f.__name__: f for f in (op2_mix_sources, op3_quality, op4_token_frames, op5_shard_tree, op7_main_text, op8_pack_sequences, op9_exact_topk)
 }
 ORACLES: dict[str, str] = {"op9_exact_topk": OP9_SQL}
