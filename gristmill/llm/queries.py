@@ -11,6 +11,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS sh
+  FROM d),
+n AS (SELECT r, doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT r, unnest(sh) AS x FROM s),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON x.r = i.a JOIN n y ON y.r = i.b WHERE 100 * i.both >= 75 * (x.n + y.n - i.both)),
+c(a, b) AS (SELECT r, r FROM n UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT c.a, min(n.doc_id) AS component_id FROM c JOIN n ON n.r = c.b GROUP BY c.a)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, coalesce(n.doc_id = m.component_id, false) AS kept FROM n JOIN m ON m.a = n.r
+"""
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -76,6 +102,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_quality, op4_token_frames, op5_shard_tree, op7_main_text, op8_pack_sequences, op9_exact_topk)
+    f.__name__: f for f in (op1_minhash, op2_mix_sources, op3_quality, op4_token_frames, op5_shard_tree, op7_main_text, op8_pack_sequences, op9_exact_topk)
 }
-ORACLES: dict[str, str] = {"op9_exact_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_minhash": OP1_SQL, "op9_exact_topk": OP9_SQL}
