@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,15 +41,25 @@ HAS_CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 16
 LEVEL = 1
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_000_000
 END_ID = 0
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 SAFE_CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
 PIECE_CHARS = 1 << 15
 
+#: A word of Latin letters after at most one space or line feed, then ASCII marks but the apostrophe: two or three pieces of the pre-tokenizer.
+PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints in Latin-1, else the next one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
 class Encoder:
     """Byte-level BPE through the tokenizers library, which sees each distinct word once.
 
@@ -64,10 +75,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """A string that the pre-tokenizer leaves whole goes straight to the BPE model."""
+        got = self.known.get(piece)
+        if got is None:
+            got = array("I", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]).tobytes()
+            self.keep(piece, got)
+        return got
+
+    def keep(self, part: str, got: bytes) -> None:
+        if len(self.known) < CACHE_ENTRIES and len(part) < 64:
+            self.known[part] = got
+
+    def part(self, part: str) -> bytes:
+        """The ids of a run of white space and the word after it."""
+        got = self.known.get(part)
+        if got is None:
+            m = PLAIN.fullmatch(part)
+            if m is None:
+                got = self.raw(part)
+                self.keep(part, got)
+            else:
+                old = m[2] in self.known  # a word met before is worth an entry with its marks too
+                got = b"".join([self.piece(x) for x in m.groups() if x])
+                if old:
+                    self.keep(part, got)
+        return got
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text and the end id, as little-endian unsigned 32-bit integers."""
@@ -81,18 +121,16 @@ class Encoder:
                 out.append(self.raw(text[at:end]))
                 at = end
             return b"".join([*out, b"\0\0\0\0"])
-        known, parts = self.known, SPLIT.findall(text)
+        if "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text) or "\0" in text:
+            parts = SPLIT.findall(text)
+        else:
+            parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            if not parts[0]:
+                del parts[0]
         try:
-            out = [known[p] for p in parts]
+            out = list(map(self.known.__getitem__, parts))
         except KeyError:
-            out = []
-            for p in parts:
-                got = known.get(p)
-                if got is None:
-                    got = self.raw(p)
-                    if len(known) < CACHE_ENTRIES and len(p) < 64:
-                        known[p] = got
-                out.append(got)
+            out = [self.part(p) for p in parts]
         out.append(b"\0\0\0\0")
         return b"".join(out)
 
