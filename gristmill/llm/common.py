@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -48,6 +49,11 @@ class Workspace:
             p = jvm.org.apache.hadoop.fs.Path(self.path(label))
             p.getFileSystem(conf).delete(p, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps: it does once the driver has collected their plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds what one Arrow batch of long texts can hold."""
@@ -74,8 +80,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of every k consecutive entries of h."""
-    n = len(h) - k + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    n = max(len(h) - k + 1, 0)
+    out = np.zeros(n, np.uint64)
     for i in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
     return mix64(out)

@@ -109,6 +109,12 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -126,6 +132,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_mix_sources, op3_quality, op4_token_frames, op5_shard_tree, op6_nn_descent, op7_main_text, op8_pack_sequences, op9_exact_topk)
+    f.__name__: f for f in (op1_minhash, op2_mix_sources, op3_quality, op4_token_frames, op5_shard_tree, op6_nn_descent, op7_main_text, op8_pack_sequences, op9_exact_topk, op10_passages)
 }
 ORACLES: dict[str, str] = {"op1_minhash": OP1_SQL, "op6_nn_descent": OP6_SQL, "op9_exact_topk": OP9_SQL}
