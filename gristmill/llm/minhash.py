@@ -18,10 +18,10 @@ POSITIONS = 128
 TREES = 10
 BRANCHES = 2
 NODE_LIMIT = 48
+CHUNK = 256
 MAX_DEPTH = 12
-BLOCK = 48
 #: An estimate from POSITIONS minima has a standard deviation of at most 0.044: below MAYBE no pair of the threshold is expected, from SURE on nearly all are.
-MAYBE, SURE = 0.55, 0.9
+MAYBE, SURE = 0.61, 0.9
 
 _multipliers = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -78,19 +78,18 @@ def runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def node_pairs(ids: np.ndarray, sig: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
-    """Compares a small node exhaustively by the estimate; the pairs to confirm.
+def node_pairs(ids: np.ndarray, sig: np.ndarray, labels: np.ndarray, minor: np.ndarray, last: bool) -> list[tuple[int, int]]:
+    """Compares a small node by the estimate; the pairs to confirm.
 
-    Pairs of one label are linked already. Sure pairs that close a cycle of sure pairs are
-    left out: they change no component.
+    Every minor member meets every member of another label; pairs of one label are linked already. At
+    first a spanning forest of the most similar pairs is enough to join what can be joined.
+    The ``last`` time all pairs count but those that close a cycle of sure ones, which change no component.
     """
-    n = len(ids)
-    est = np.zeros((n, n))
-    for i in range(n - 1):
-        est[i, i + 1 :] = (sig[i + 1 :] == sig[i]).mean(1)
-    a, b = np.nonzero((est >= MAYBE) & (labels[:, None] != labels[None, :]))
+    rows = np.flatnonzero(minor)
+    est = np.stack([(sig == sig[i]).mean(1) for i in rows])
+    a, b = np.nonzero((est >= MAYBE) & (labels[rows][:, None] != labels[None, :]))
     order = np.argsort(-est[a, b], kind="stable")
-    up = list(range(n))
+    up = list(range(len(ids)))
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -101,15 +100,22 @@ def node_pairs(ids: np.ndarray, sig: np.ndarray, labels: np.ndarray) -> list[tup
     first: dict = {}
     for i, lab in enumerate(labels.tolist()):
         up[i] = first.setdefault(lab, i)
-    out = []
+    out = set()
     for k in order:
-        i, j = int(a[k]), int(b[k])
+        i, j = int(rows[a[k]]), int(b[k])
         x, y = root(i), root(j)
         if x == y:
             continue
-        out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
-        if est[i, j] >= SURE:
+        out.add((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+        if not last or est[a[k], b[k]] >= SURE:
             up[x] = y
+    return sorted(out)
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionAll(f)
     return out
 
 
@@ -120,7 +126,10 @@ class Join:
         self.ws, self.spark = ws, docs.sparkSession
         small_batches(self.spark)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.n = 0
+        self.sets: list[DataFrame] = []
+        self.tested: list[DataFrame] = []
+        self.found: list[DataFrame] = []
+        self.labels: DataFrame | None = None
 
     def sketch(self) -> DataFrame:
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,13 +144,14 @@ class Join:
         got = self.docs.mapInPandas(make, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
         return self.ws.write(got.withColumn("rid", F.monotonically_increasing_id()), "sketch")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes whose whole shingle sets pass the threshold, as a table."""
-        ws, k = self.ws, self.n
-        self.n += 1
-        pairs = ws.write(pairs.distinct(), f"pairs-{k}")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    def fetch(self, ids: DataFrame) -> None:
+        """Stages the full shingle sets of classes that have none yet, in one pass over the documents."""
+        ws, k = self.ws, len(self.sets)
+        for have in self.sets:
+            ids = ids.join(have.select("cid"), "cid", "left_anti")
         need = ws.write(ids.join(self.classes, "cid").select("cid", "low", "f1", "f2"), f"need-{k}")
+        if need.isEmpty():
+            return
         texts = self.docs.join(need, self.docs["doc_id"].eqNullSafe(need["low"])).select("cid", "f1", "f2", "text")
 
         def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,9 +163,22 @@ class Join:
                         out.append((cid, s.tobytes()))
                 yield pd.DataFrame(out, columns=["cid", "s"])
 
-        have = ws.write(texts.mapInPandas(sets, "cid long, s binary"), f"sets-{k}")
-        if self.repeats:
-            have = have.dropDuplicates(["cid"])
+        have = texts.mapInPandas(sets, "cid long, s binary")
+        self.sets.append(ws.write(have.dropDuplicates(["cid"]) if self.repeats else have, f"sets-{k}"))
+        ws.release()
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Confirms pairs (a, b) of classes on whole shingle sets; False if none was new."""
+        ws, k = self.ws, len(self.tested)
+        pairs = pairs.distinct()
+        for old in self.tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = ws.write(pairs, f"pairs-{k}")
+        if pairs.isEmpty():
+            return False
+        self.tested.append(pairs)
+        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        have = union(self.sets)
         both = pairs.join(have.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
 
         def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,113 +186,131 @@ class Join:
                 ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(f.sa, f.sb, strict=True)]
                 yield f.loc[ok, ["a", "b"]]
 
-        out = ws.write(both.select("a", "b", "sa", "sb").mapInPandas(confirm, "a long, b long"), f"links-{k}")
-        ws.drop(f"sets-{k}", f"need-{k}", f"pairs-{k}")
-        return out
+        self.found.append(ws.write(both.select("a", "b", "sa", "sb").mapInPandas(confirm, "a long, b long"), f"links-{k}"))
+        ws.release()
+        return True
 
-    def small(self, members: DataFrame) -> DataFrame:
-        """Pairs to confirm from nodes (node, cid, label) of at most NODE_LIMIT members."""
-        groups = members.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cid", "label"))).alias("m")).select("m").distinct()
-        rows = groups.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.cid", "x.label")
-        rows = self.ws.write(rows, f"groups-{self.n}").join(self.sigs, "cid")
+    def compare(self, groups: DataFrame, label: str, last: bool) -> DataFrame:
+        """Pairs to confirm from groups (gid, cid, label, minor) of bounded size."""
+        rows = self.ws.write(groups, f"groups-{label}").join(self.sigs, "cid")
 
-        def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out: list[tuple[int, int]] = []
             for g in runs(frames, "gid"):
-                sig = np.frombuffer(b"".join(g.sig), "<u4").reshape(len(g), POSITIONS)
-                out += node_pairs(g.cid.to_numpy(), sig, g.label.to_numpy())
+                minor = g.minor.to_numpy()
+                if minor.any():
+                    sig = np.frombuffer(b"".join(g.sig), "<u4").reshape(len(g), POSITIONS)
+                    out += node_pairs(g.cid.to_numpy(), sig, g.label.to_numpy(), minor, last)
                 if len(out) > 10_000:
                     yield pd.DataFrame(out, columns=["a", "b"])
                     out = []
             yield pd.DataFrame(out, columns=["a", "b"])
 
-        return rows.repartition("gid").sortWithinPartitions("gid").mapInPandas(compare, "a long, b long")
+        rows = rows.select("gid", "cid", "label", "minor", "sig").repartition("gid").sortWithinPartitions("gid")
+        return self.ws.write(rows.mapInPandas(meet, "a long, b long"), f"met-{label}")
+
+    def closed(self, level: DataFrame, label: str, last: bool) -> DataFrame:
+        """Pairs from nodes (node, cid, label, n, most, m) with at most NODE_LIMIT members outside their most frequent label.
+
+        Small nodes are compared as they are, equal ones once. In the others the few
+        minor members meet all, dealt out in chunks, with a copy of the minor ones in each.
+        """
+        small = level.where(F.col("n") <= NODE_LIMIT).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cid", "label"))).alias("m")).select("m").distinct()
+        small = small.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.cid", "x.label", F.lit(True).alias("minor"))
+        wide = level.where((F.col("n") > NODE_LIMIT) & (F.col("m") <= NODE_LIMIT)).withColumn("minor", F.col("label") != F.col("most")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+        own = F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+        wide = wide.withColumn("chunk", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
+        return self.compare(small.unionAll(wide.select(F.xxhash64("node", "chunk").alias("gid"), "cid", "label", "minor")), label, last)
 
     def estimate(self, rows: DataFrame) -> DataFrame:
-        """Keeps rows (.., sig, other) whose estimate reaches MAYBE; drops the sketches."""
-        kept = [f for f in rows.schema.fields if f.name not in ("sig", "other")]
+        """Pairs (a, b) of rows (a, b, sig, other) whose estimate reaches MAYBE."""
 
         def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if len(f):
                     x, y = (np.frombuffer(b"".join(f[c]), "<u4").reshape(len(f), POSITIONS) for c in ("sig", "other"))
-                    yield f.loc[(x == y).mean(1) >= MAYBE, [k.name for k in kept]]
+                    yield f.loc[(x == y).mean(1) >= MAYBE, ["a", "b"]]
 
-        return rows.mapInPandas(near, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept))
+        return rows.select("a", "b", "sig", "other").mapInPandas(near, "a long, b long")
 
-    def stats(self, level: DataFrame, label: str) -> DataFrame:
-        """Nodes with two labels at least: (node, n)."""
-        s = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        return self.ws.write(s.where("l0 <> l1").select("node", "n"), label)
+    def star(self, big: DataFrame, label: str) -> DataFrame:
+        """Pairs of a member drawn at random from each large node and its members of other labels."""
+        rank = F.struct(F.xxhash64("node", "cid", F.lit(label)).alias("h"), F.col("cid").alias("c"), F.col("label").alias("l"))
+        lead = self.ws.write(big.groupBy("node").agg(F.min(rank).alias("m")).select("node", F.col("m.c").alias("lead"), F.col("m.l").alias("lead_label")), f"lead-{label}")
+        pairs = big.join(lead, "node").where("label <> lead_label").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+        pairs = self.ws.write(pairs, f"star-{label}")
+        rows = pairs.join(self.sigs.select(F.col("cid").alias("a"), "sig"), "a").join(self.sigs.select(F.col("cid").alias("b"), F.col("sig").alias("other")), "b")
+        return self.ws.write(self.estimate(rows), f"near-{label}")
 
-    def links(self) -> list[DataFrame]:
-        """Confirmed links between classes, as tables (a, b).
+    def described(self, nodes: DataFrame, label: str) -> DataFrame:
+        """Nodes (node, cid, depth, age) with labels as known now, and of each: size n, most frequent label, members m outside it.
 
-        Each of TREES roots sends a class to the node of its minwise token at the tree's own position.
-        A node of at most NODE_LIMIT classes is compared exhaustively. In a larger one, a member
-        drawn at random is compared to all others, who take its label if they are similar in
-        truth; then the node branches: BRANCHES positions drawn for it send each member on to the child of
-        its token there. A pair of similarity s stays together with 1 - (1 - s) ** BRANCHES a level, and
-        all trees together miss a pair at the threshold with a chance of about 1e-5. Nodes with one label
-        only are done. What is still large at MAX_DEPTH goes to rest(), which is exhaustive.
+        Nodes of one label are done and absent. Counts are by node and label, so that a label with
+        most of a node's members is counted before the shuffle.
         """
         ws = self.ws
-        token = lambda p: F.substring("sig", 4 * p + 1, 4)
-        roots = F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(TREES)])
-        keys = self.sigs.select("cid", F.explode(roots).alias("node")).withColumn("label", F.col("cid"))
-        st = self.stats(keys, "stats-0")
-        level = ws.write(keys.join(st, "node"), "level-0")
-        pending = self.small(level.where(F.col("n") <= NODE_LIMIT).select("node", "cid", "label"))
-        pending = [ws.write(pending, "candidates-0")]
-        found: list[DataFrame] = []
-        big = ws.write(level.where(F.col("n") > NODE_LIMIT).join(self.sigs, "cid").select("node", "cid", "label", "sig"), "big-0")
-        depth = 0
-        while not big.isEmpty() and depth < MAX_DEPTH:
-            rank = F.struct(F.xxhash64("node", "cid").alias("h"), F.col("cid").alias("c"), F.col("label").alias("l"), "sig")
-            lead = ws.write(big.groupBy("node").agg(F.min(rank).alias("m")).select("node", F.col("m.c").alias("lead"), F.col("m.l").alias("lead_label"), F.col("m.sig").alias("other")), f"lead-{depth}")
-            star = big.join(lead, "node").where("label <> lead_label").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"), "sig", "other")
-            star = ws.write(self.estimate(star).distinct(), f"star-{depth}")
-            ok = self.verify(star)
-            found.append(ok)
-            tied = ok.select("a", "b", F.lit(True).alias("ok"))
-            rows = big.join(lead.drop("other"), "node").withColumn("a", F.least("cid", "lead")).withColumn("b", F.greatest("cid", "lead"))
-            rows = rows.join(tied, ["a", "b"], "left").withColumn("label", F.when(F.col("ok"), F.col("lead_label")).otherwise(F.col("label")))
-            place = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(i)), F.lit(POSITIONS // BRANCHES)) + i * (POSITIONS // BRANCHES) for i in range(BRANCHES)]
-            child = F.array(*[F.xxhash64("node", F.lit(i), F.substring(F.col("sig"), (p * 4 + 1).cast("int"), F.lit(4))) for i, p in enumerate(place)])
-            kids = ws.write(rows.select("cid", "label", "sig", F.explode(child).alias("node")), f"kids-{depth}")
-            depth += 1
-            st = self.stats(kids, f"stats-{depth}")
-            level = kids.join(st, "node")
-            pending.append(ws.write(self.small(level.where(F.col("n") <= NODE_LIMIT).select("node", "cid", "label")), f"candidates-{depth}"))
-            big = ws.write(level.where(F.col("n") > NODE_LIMIT).select("node", "cid", "label", "sig"), f"big-{depth}")
-        pairs = pending[0]
-        for p in pending[1:]:
-            pairs = pairs.unionAll(p)
-        if not big.isEmpty():
-            pairs = pairs.unionAll(self.rest(big))
-        return [*found, self.verify(pairs)]
-
-    def rest(self, big: DataFrame) -> DataFrame:
-        """Pairs to confirm in nodes that no branching made small: every member against all members of other labels.
-
-        Members of a node's most frequent label are not compared to each other, as they are linked. The
-        others meet all members in blocks of BLOCK sketches, one block a round for each node.
+        rows = nodes.withColumn("label", F.col("cid")) if self.labels is None else nodes.join(self.labels, "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+        rows = ws.write(rows, f"labelled-{label}")
+        per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+        s = per.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        s = ws.write(s.select("node", "n", F.col("top.label").alias("most"), (F.col("n") - F.col("top.c")).alias("m")), f"stats-{label}")
+        return ws.write(rows.join(s, "node"), f"level-{label}")
+
+    def children(self, big: DataFrame, label: str) -> DataFrame:
+        """Each large node's members in its child nodes, by their tokens at BRANCHES positions drawn for the node."""
+        width = POSITIONS // BRANCHES
+        rows = big.join(self.sigs, "cid")
+        place = [F.pmod(F.xxhash64("node", "depth", F.lit(i)), F.lit(width)) + i * width for i in range(BRANCHES)]
+        child = F.array(*[F.xxhash64("node", F.lit(i), F.substring(F.col("sig"), (p * 4 + 1).cast("int"), F.lit(4))) for i, p in enumerate(place)])
+        kids = self.ws.write(rows.select("cid", (F.col("depth") + 1).alias("depth"), F.explode(child).alias("node")), f"kids-{label}")
+        many = kids.groupBy("node").count().where("count > 1").select("node")
+        return kids.join(many, "node").select("node", "cid", "depth", F.lit(0).alias("age"))
+
+    def links(self) -> None:
+        """Finds and confirms links between classes until no node of any tree has two labels left.
+
+        Each of TREES roots sends a class to the node of its minwise token at the tree's own position.
+        Nodes with few members outside their largest component are compared exhaustively: first a
+        forest of the most similar pairs, then, if labels still differ, every pair. In larger nodes a random
+        member meets all others, and the node branches: BRANCHES positions drawn for it send each member on to
+        the children of its tokens. A pair of similarity s stays together with 1 - (1 - s) ** BRANCHES a level, and
+        all trees together miss a pair at the threshold with a chance of about 1e-5. Labels are the
+        components of all links confirmed so far, so that a group of near copies is one label after a round or two and is not
+        branched further. From MAX_DEPTH on a node does not branch, but is dealt out until it is exhausted.
         """
         ws = self.ws
-        common = big.groupBy("node", "label").count().groupBy("node").agg(F.max(F.struct("count", "label")).alias("m")).select("node", F.col("m.label").alias("most"))
-        common = ws.write(common, "rest-common")
-        minor = big.join(common, "node").where("label <> most").select("node", "cid", "label", "sig")
-        sizes = minor.groupBy("node").count().select("node", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        minor = ws.write(minor.join(ws.write(sizes, "rest-sizes"), "node").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))), "rest-minor")
-        rounds = minor.agg(F.max("block")).first()[0]
-        out = self.spark.createDataFrame([], "a long, b long")
-        for r in range((rounds if rounds is not None else -1) + 1):
-            block = minor.where(F.col("block") == r).groupBy("node").agg(F.collect_list(F.struct("cid", "label", "sig")).alias("xs"))
-            block = ws.write(block, f"rest-block-{r}")
-            met = big.join(block, "node").select("cid", "label", "sig", F.explode("xs").alias("x")).where("label <> x.label")
-            met = self.estimate(met.select(F.least("cid", "x.cid").alias("a"), F.greatest("cid", "x.cid").alias("b"), "sig", F.col("x.sig").alias("other")))
-            out = out.unionAll(ws.write(met, f"rest-pairs-{r}"))
-        return out
+        roots = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * t + 1, 4)) for t in range(TREES)])
+        keys = self.sigs.select("cid", F.explode(roots).alias("node"))
+        many = ws.write(keys.groupBy("node").count().where("count > 1").select("node"), "many")
+        nodes = keys.join(many, "node").select("node", "cid", F.lit(0).alias("depth"), F.lit(0).alias("age"))
+        r = 0
+        while True:
+            level = self.described(nodes, str(r))
+            if level.isEmpty():
+                return
+            narrow = F.col("m") <= NODE_LIMIT
+            first, last, big = level.where(narrow & (F.col("age") == 0)), level.where(narrow & (F.col("age") > 0)), level.where(~narrow)
+            met = [self.closed(first, f"{r}-first", False)]
+            if not last.isEmpty():
+                met.append(self.closed(last, f"{r}-last", True))
+            nodes = first.select("node", "cid", "depth", F.lit(1).alias("age"))
+            if not big.isEmpty():
+                met.append(self.star(big, str(r)))
+                nodes = nodes.unionAll(self.children(big.where(F.col("depth") < MAX_DEPTH), str(r)))
+                deep = big.where(F.col("depth") >= MAX_DEPTH)
+                if not deep.isEmpty():
+                    met.append(self.rest(deep, str(r)))
+            if self.verify(union(met)):
+                self.labels = components(ws, union(self.found), f"round-{r}").withColumnRenamed("id", "cid")
+            r += 1
+
+    def rest(self, deep: DataFrame, label: str) -> DataFrame:
+        """All pairs to confirm in nodes that no branching made small: minor members in blocks of NODE_LIMIT, each against every chunk of its node."""
+        size = deep.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("blocks", F.ceil(F.col("m") / NODE_LIMIT).cast("int")).withColumn("minor", F.col("label") != F.col("most"))
+        own = size.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("minor", F.lit(False))
+        guest = size.where("minor").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = own.unionByName(guest).select(F.xxhash64("node", "block", "chunk").alias("gid"), "cid", "label", "minor")
+        return self.compare(rows.groupBy("gid", "cid", "label").agg(F.max("minor").alias("minor")), f"{label}-rest", True)
 
     def run(self) -> DataFrame:
         ws = self.ws
@@ -278,12 +319,9 @@ class Join:
         self.classes = ws.write(classes, "classes")
         self.sigs = ws.write(sketch.select(F.col("rid").alias("cid"), "sig").join(self.classes.select("cid"), "cid"), "sigs")
         self.repeats = not sketch.groupBy("doc_id").count().where("count > 1").isEmpty()
-        tables = self.links()
-        edges = tables[0]
-        for t in tables[1:]:
-            edges = edges.unionAll(t)
-        comp = components(ws, edges, "components")
-        comp = self.classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        self.links()
+        comp = self.labels if self.labels is not None else self.spark.createDataFrame([], "cid long, component long")
+        comp = self.classes.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         comp = ws.write(comp, "class-components")
         low = ws.write(comp.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
         comp = ws.write(comp.join(low, "component").select("f1", "f2", "component_id"), "class-ids")
