@@ -19,6 +19,7 @@ TREES = 10
 BRANCHES = 2
 NODE_LIMIT = 48
 CHUNK = 256
+LEAP = 3
 MAX_DEPTH = 12
 #: An estimate from POSITIONS minima has a standard deviation of at most 0.044: below MAYBE no pair of the threshold is expected, from SURE on nearly all are.
 MAYBE, SURE = 0.61, 0.9
@@ -257,12 +258,14 @@ class Join:
         return ws.write(rows.join(s, "node"), f"level-{label}")
 
     def children(self, big: DataFrame, label: str) -> DataFrame:
-        """Each large node's members in its child nodes, by their tokens at BRANCHES positions drawn for the node."""
+        """Each large node's members some levels further down: each node sends them on by their tokens at BRANCHES positions drawn for it."""
         width = POSITIONS // BRANCHES
-        rows = big.join(self.sigs, "cid")
-        place = [F.pmod(F.xxhash64("node", "depth", F.lit(i)), F.lit(width)) + i * width for i in range(BRANCHES)]
-        child = F.array(*[F.xxhash64("node", F.lit(i), F.substring(F.col("sig"), (p * 4 + 1).cast("int"), F.lit(4))) for i, p in enumerate(place)])
-        kids = self.ws.write(rows.select("cid", (F.col("depth") + 1).alias("depth"), F.explode(child).alias("node")), f"kids-{label}")
+        rows = big.select("node", "cid", "depth").join(self.sigs, "cid")
+        for _ in range(LEAP):
+            place = [F.pmod(F.xxhash64("node", "depth", F.lit(i)), F.lit(width)) + i * width for i in range(BRANCHES)]
+            child = F.array(*[F.xxhash64("node", F.lit(i), F.substring(F.col("sig"), (p * 4 + 1).cast("int"), F.lit(4))) for i, p in enumerate(place)])
+            rows = rows.select("cid", "sig", (F.col("depth") + 1).alias("depth"), F.explode(child).alias("node"))
+        kids = self.ws.write(rows.select("node", "cid", "depth"), f"kids-{label}")
         many = kids.groupBy("node").count().where("count > 1").select("node")
         return kids.join(many, "node").select("node", "cid", "depth", F.lit(0).alias("age"))
 
@@ -272,7 +275,7 @@ class Join:
         Each of TREES roots sends a class to the node of its minwise token at the tree's own position.
         Nodes with few members outside their largest component are compared exhaustively: first a
         forest of the most similar pairs, then, if labels still differ, every pair. In larger nodes a random
-        member meets all others, and the node branches: BRANCHES positions drawn for it send each member on to
+        member meets all others, and the node branches LEAP levels down: BRANCHES positions drawn for it send each member on to
         the children of its tokens. A pair of similarity s stays together with 1 - (1 - s) ** BRANCHES a level, and
         all trees together miss a pair at the threshold with a chance of about 1e-5. Labels are the
         components of all links confirmed so far, so that a group of near copies is one label after a round or two and is not
