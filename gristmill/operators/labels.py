@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-TIME = W.partitionBy("asset").orderBy("t")
+def in_time() -> W:
+    return W.partitionBy("asset").orderBy("t")
 
 
 def forward_return(h: int = 1, delay: int = 0, ret: str = "ret") -> Column:
@@ -14,7 +15,7 @@ def forward_return(h: int = 1, delay: int = 0, ret: str = "ret") -> Column:
 
     A return of -1 wipes the position out (-1); below -1 there is no compounding (NULL).
     """
-    w = TIME.rowsBetween(1 + delay, delay + h)
+    w = in_time().rowsBetween(1 + delay, delay + h)
     low = F.min(ret).over(w)
     grown = F.exp(F.sum(F.log1p(F.when(F.col(ret) > -1, F.col(ret)))).over(w)) - 1
     return F.when(F.count(ret).over(w) == h, F.when(low > -1, grown).when(low == -1, F.lit(-1.0)))
@@ -26,7 +27,7 @@ def forward_returns(panel: DataFrame, h: int = 1, delay: int = 0, ret: str = "re
 
 def shifted(column: str, k: int) -> Column:
     """The value k steps later (earlier if negative)."""
-    return F.lead(column, k).over(TIME) if k >= 0 else F.lag(column, -k).over(TIME)
+    return F.lead(column, k).over(in_time()) if k >= 0 else F.lag(column, -k).over(in_time())
 
 
 def variants(panel: DataFrame, name: str, value: str, columns: dict[int, Column], keep: list[str]) -> DataFrame:
@@ -38,11 +39,11 @@ def variants(panel: DataFrame, name: str, value: str, columns: dict[int, Column]
 
 def trailing_control(ret: str = "ret", lookback: int = 5) -> Column:
     """The default positive control: minus the sum of the last returns, missing ones as 0; NULL on the first steps."""
-    w = TIME.rowsBetween(-(lookback - 1), 0)
+    w = in_time().rowsBetween(-(lookback - 1), 0)
     return F.when(F.col("t") >= lookback - 1, -F.sum(F.coalesce(F.col(ret), F.lit(0.0))).over(w))
 
 
 def trailing_mean(column: str, window: int, offset: int = 0) -> Column:
     """Mean of the window that ends offset steps from t, full windows only."""
-    w = TIME.rowsBetween(-window + 1 + offset, offset)
+    w = in_time().rowsBetween(-window + 1 + offset, offset)
     return F.when(F.count(column).over(w) == window, F.avg(column).over(w))

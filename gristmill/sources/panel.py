@@ -8,9 +8,6 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import finite
 
-BY_ASSET = W.partitionBy("asset").orderBy("t")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +31,7 @@ def ratio_return(px: Column, before: Column) -> Column:
 
 def with_returns(cells: DataFrame) -> DataFrame:
     px = F.col("dollar_volume") / F.col("quantity")
-    out = cells.withColumn("px", px).withColumn("ret", ratio_return(F.col("px"), F.lag("px").over(BY_ASSET)))
+    out = cells.withColumn("px", px).withColumn("ret", ratio_return(F.col("px"), F.lag("px").over(W.partitionBy("asset").orderBy("t"))))
     return out.withColumn("signal", -F.col("ret")).withColumn("vol", F.abs("ret")).withColumn("mask", F.col("dollar_volume").isNotNull())
 
 
