@@ -289,7 +289,7 @@ def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """
     ws = ws or Workspace(docs.sparkSession, "cut")
     found = repeated_passages(docs, ws=ws)
-    spans = ws.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    spans = ws.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut_spans_")), "spans")
     rows = docs.join(spans, "doc_id", "left")
 
     @F.pandas_udf("string")
@@ -311,5 +311,7 @@ def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
             out.append(left.strip() or None)
         return pd.Series(out)
 
-    hit = rows.where("spans is not null").withColumn("text", without("text", "spans")).where("text is not null").withColumn("n_chars", F.char_length("text").cast("long"))
-    return rows.where("spans is null").unionByName(hit).select(*docs.columns)
+    hit = rows.where("cut_spans_ is not null").withColumn("text", without("text", "cut_spans_")).where("text is not null")
+    if "n_chars" in docs.columns:
+        hit = hit.withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.where("cut_spans_ is null").select(*docs.columns).unionByName(hit.select(*docs.columns))
