@@ -61,3 +61,11 @@ def null_deltas(books: DataFrame, n_draws: int, periods_per_year: int) -> DataFr
     d = d.withColumn("i", i).withColumn("j", j)
     mixed = d.drop("add", "j").join(d.select("draw", F.col("j").alias("i"), "add"), ["draw", "i"])
     return annual_delta(mixed.withColumn("combined", F.coalesce("baseline", F.lit(0.0)) + F.col("add")), periods_per_year, ["draw"]).select("draw", F.col("delta_ann").alias("stat"))
+
+
+def render_yearly(books: DataFrame) -> str:
+    """The yearly table as text, a line a year."""
+    out = ["year   baseline  combined     delta"]
+    for r in yearly(books).orderBy("year").collect():  # one row a year
+        out.append(f"{r.year}  {r.baseline:+9.2%} {r.combined:+9.2%} {r.delta:+9.2%}")
+    return "\n".join(out)

@@ -47,3 +47,18 @@ def trailing_mean(column: str, window: int, offset: int = 0) -> Column:
     """Mean of the window that ends offset steps from t, full windows only."""
     w = in_time().rowsBetween(-window + 1 + offset, offset)
     return F.when(F.count(column).over(w) == window, F.avg(column).over(w))
+
+
+def ema(panel: DataFrame, column: str, span: float, out: str = "ema") -> DataFrame:
+    """(t, asset, out): the recursive mean a x + (1 - a) before, a = 2 / (span + 1), from an asset's first value on; missing values keep it. One task an asset."""
+    kinds, a = dict(panel.dtypes), 2.0 / (span + 1.0)
+
+    def fold(g):
+        g, last, got = g.sort_values("t"), None, []
+        for x in g[column]:
+            if x == x and x is not None:
+                last = x if last is None else a * x + (1 - a) * last
+            got.append(last)
+        return g[["t", "asset"]].assign(**{out: got}).astype({out: "float64"})
+
+    return panel.select("t", "asset", column).groupBy("asset").applyInPandas(fold, f"t {kinds['t']}, asset {kinds['asset']}, {out} double")

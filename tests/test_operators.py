@@ -130,6 +130,11 @@ def test_matched_selection_keeps_turnover(panel):
     assert all(len(drawn[t] & drawn[t - 1]) >= len(real[t] & real[t - 1]) for t in real if t - 1 in real and real[t] != real[t - 1])
 
 
+def test_ema(spark):
+    df = frame(spark, np.array([[1.0], [2.0], [4.0]]))
+    assert [r.ema for r in labels.ema(df, "ret", 3).orderBy("t").collect()] == pytest.approx([1.0, 1.5, 2.75])
+
+
 def test_frozen_tail_is_found(spark):
     x = np.random.default_rng(1).normal(size=(60, 30))
     x[30:] = x[30]

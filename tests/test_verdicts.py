@@ -109,6 +109,33 @@ def test_noise_is_rejected_by_the_harness(spark):
     assert r.outcome in (REJECTED, INCONCLUSIVE) and not any(c.id == "E1" for c in r.checks)
 
 
+def test_honest_signal_runs_the_whole_battery(spark):
+    df = planted(spark, False).withColumn("vol", F.abs("ret")).withColumn("volume", F.lit(1e6) + F.col("asset")).withColumn("trigger", F.coalesce(F.col("signal") > 2.0, F.lit(False)))
+    df = df.withColumn("noise", F.rand(3)).withColumn("grp", (F.col("asset") % 3).cast("int"))
+    s = Study(
+        "states persist", df, horizon=3, covariates=["vol"], controls=["noise"], naive="vol", dollar_volume="volume", capital=1e5, trigger="trigger", group="grp", tradable_ret="ret", cost_bp=1.0,
+        price_basis="mid", cost_components=["fee", "spread"], positive_control="signal", price_limit=0.06, fill_convention="next-open", retrained=False, claimed_strides=(2,), universe="csi_300",
+        seed_metric=lambda i: 1.0 + 0.1 * (i % 5), reported_metric=1.0, knob_metric=lambda k, seg: k if seg == "train" else 1.0, knob_params=(1, 2, 3, 4), fit_from_start=lambda x: {"a": 1.0}, starts=[{"a": 0.0}, {"a": 1.0}, {"a": 2.0}],
+        implication_results={"decays": True},
+    )
+    r = run(s, Prereg("states persist", "persistence", ["decays"]), n_draws=40)
+    assert {c.id for c in r.checks} >= {"P0", "P9", "S7", "M6", "M5", "M0", "S6", "A0", "A1", "A2", "A3", "A4", "S4", "S5", "S8", "S9", "S10"}
+    assert not r.killers or {c.id for c in r.killers} <= {"A2", "M10", "M11"}, r.render()
+    got = {c.id: c.outcome for c in r.checks}
+    assert got["M0"] == got["S6"] == got["S4"] == PASS
+    if not r.killers:
+        assert {c.id for c in r.checks} >= {"M1", "M2", "M3", "M4", "M7", "M8", "M9", "M10", "M11", "M12", "M13", "M14", "E1", "E2", "E3", "E4", "E5", "E6"}
+    assert r.to_frame(spark).count() == len(r.checks)
+
+
+def test_books_against_their_nulls(spark):
+    from gristmill.plans.battery import StrategyStudy, run_strategy
+
+    df = planted(spark, False, 60, 80).withColumn("sel", F.coalesce(F.col("signal") > 1.2, F.lit(False)))
+    r = run_strategy(StrategyStudy("picks winners", df, df.select("t").distinct().withColumn("benchmark", F.lit(0.0001)), 1.0), Prereg("picks winners"), n_draws=30)
+    assert {c.id: c.outcome for c in r.checks} == {"P0": PASS, "SE1": PASS, "SM0": PASS, "SM1": PASS, "SE2": PASS} and r.outcome == SURVIVES
+
+
 def test_missing_column_is_refused(spark):
     with pytest.raises(ValueError):
         Study("x", frame(spark, np.ones((2, 2))))
