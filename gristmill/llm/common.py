@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task may fold.
+SMALL_EDGES = 20_000
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
 
@@ -93,6 +95,26 @@ def finite_vector(col: str) -> Column:
     return F.coalesce(F.col(col).isNotNull() & (F.size(col) > 0) & ~bad, F.lit(False))
 
 
+def fold_components(frames: Iterator) -> Iterator:
+    """Union-find over a few edges: (id, smallest id of its component)."""
+    import pandas as pd
+
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for f in frames:
+        for a, b in zip(f.a.tolist(), f.b.tolist(), strict=True):
+            x, y = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            up[max(x, y)] = min(x, y)
+    if up:
+        yield pd.DataFrame({"id": list(up), "component": [root(x) for x in up]})
+
+
 def components(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
     """Connected components of edges (a, b): one row (id, component) for each id with an edge.
 
@@ -108,6 +130,11 @@ def components(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
     maps: DataFrame | None = None
     used = [f"{label}-e0"]
     n = 0
+    count = e.count()
+    if count <= SMALL_EDGES:
+        out = ws.write(e.coalesce(1).mapInPandas(fold_components, "id long, component long"), f"{label}-out")
+        ws.drop(*used)
+        return out
     while not e.isEmpty():
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("id")).agg(F.min(rank("b")).alias("m"))

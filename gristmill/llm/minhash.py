@@ -14,15 +14,16 @@ from .common import Workspace, components, mix64, rolling, small_batches, words
 
 SHINGLE = 5
 PERCENT = 75
-POSITIONS = 128
+POSITIONS = 192
 TREES = 10
 BRANCHES = 2
 NODE_LIMIT = 48
-CHUNK = 256
+MEETINGS = 4
+CHUNK = 1024
 LEAP = 3
 MAX_DEPTH = 12
-#: An estimate from POSITIONS minima has a standard deviation of at most 0.044: below MAYBE no pair of the threshold is expected, from SURE on nearly all are.
-MAYBE, SURE = 0.61, 0.9
+#: An estimate from POSITIONS minima has a standard deviation of 0.031 at the threshold: MAYBE is three of them below, SURE nearly five above.
+MAYBE, SURE = 0.655, 0.9
 
 _multipliers = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -79,15 +80,20 @@ def runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def node_pairs(ids: np.ndarray, sig: np.ndarray, labels: np.ndarray, minor: np.ndarray, last: bool) -> list[tuple[int, int]]:
+def node_pairs(ids: np.ndarray, sig: np.ndarray, sizes: np.ndarray, labels: np.ndarray, minor: np.ndarray, tree: int, last: bool) -> list[tuple[int, int]]:
     """Compares a small node by the estimate; the pairs to confirm.
 
     Every minor member meets every member of another label; pairs of one label are linked already. At
     first a spanning forest of the most similar pairs is enough to join what can be joined.
     The ``last`` time all pairs count but those that close a cycle of sure ones, which change no component.
+    Sizes further apart than the threshold allows rule a pair out, and so do MEETINGS earlier trees in whose roots it met.
     """
     rows = np.flatnonzero(minor)
-    est = np.stack([(sig == sig[i]).mean(1) for i in rows])
+    same = [sig == sig[i] for i in rows]
+    est = np.stack([x.mean(1) for x in same])
+    est[100 * np.minimum(sizes[rows][:, None], sizes[None, :]) < PERCENT * np.maximum(sizes[rows][:, None], sizes[None, :])] = 0
+    if tree >= MEETINGS:
+        est[np.stack([x[:, :tree].sum(1) for x in same]) >= MEETINGS] = 0
     a, b = np.nonzero((est >= MAYBE) & (labels[rows][:, None] != labels[None, :]))
     order = np.argsort(-est[a, b], kind="stable")
     up = list(range(len(ids)))
@@ -192,7 +198,7 @@ class Join:
         return True
 
     def compare(self, groups: DataFrame, label: str, last: bool) -> DataFrame:
-        """Pairs to confirm from groups (gid, cid, label, minor) of bounded size."""
+        """Pairs to confirm from groups (gid, tree, cid, label, minor) of bounded size."""
         rows = self.ws.write(groups, f"groups-{label}").join(self.sigs, "cid")
 
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,13 +207,13 @@ class Join:
                 minor = g.minor.to_numpy()
                 if minor.any():
                     sig = np.frombuffer(b"".join(g.sig), "<u4").reshape(len(g), POSITIONS)
-                    out += node_pairs(g.cid.to_numpy(), sig, g.label.to_numpy(), minor, last)
+                    out += node_pairs(g.cid.to_numpy(), sig, g.n_shingles.to_numpy(), g.label.to_numpy(), minor, int(g.tree.iloc[0]), last)
                 if len(out) > 10_000:
                     yield pd.DataFrame(out, columns=["a", "b"])
                     out = []
             yield pd.DataFrame(out, columns=["a", "b"])
 
-        rows = rows.select("gid", "cid", "label", "minor", "sig").repartition("gid").sortWithinPartitions("gid")
+        rows = rows.select("gid", "tree", "cid", "label", "minor", "n_shingles", "sig").repartition("gid").sortWithinPartitions("gid")
         return self.ws.write(rows.mapInPandas(meet, "a long, b long"), f"met-{label}")
 
     def closed(self, level: DataFrame, label: str, last: bool) -> DataFrame:
@@ -217,11 +223,11 @@ class Join:
         minor members meet all, dealt out in chunks, with a copy of the minor ones in each.
         """
         small = level.where(F.col("n") <= NODE_LIMIT).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cid", "label"))).alias("m")).select("m").distinct()
-        small = small.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.cid", "x.label", F.lit(True).alias("minor"))
+        small = small.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", F.lit(0).alias("tree"), "x.cid", "x.label", F.lit(True).alias("minor"))
         wide = level.where((F.col("n") > NODE_LIMIT) & (F.col("m") <= NODE_LIMIT)).withColumn("minor", F.col("label") != F.col("most")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
         own = F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
         wide = wide.withColumn("chunk", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
-        return self.compare(small.unionAll(wide.select(F.xxhash64("node", "chunk").alias("gid"), "cid", "label", "minor")), label, last)
+        return self.compare(small.unionAll(wide.select(F.xxhash64("node", "chunk").alias("gid"), "tree", "cid", "label", "minor")), label, last)
 
     def estimate(self, rows: DataFrame) -> DataFrame:
         """Pairs (a, b) of rows (a, b, sig, other) whose estimate reaches MAYBE."""
@@ -244,7 +250,7 @@ class Join:
         return self.ws.write(self.estimate(rows), f"near-{label}")
 
     def described(self, nodes: DataFrame, label: str) -> DataFrame:
-        """Nodes (node, cid, depth, age) with labels as known now, and of each: size n, most frequent label, members m outside it.
+        """Nodes (node, cid, tree, depth, age) with labels as known now, and of each: size n, most frequent label, members m outside it.
 
         Nodes of one label are done and absent. Counts are by node and label, so that a label with
         most of a node's members is counted before the shuffle.
@@ -260,14 +266,14 @@ class Join:
     def children(self, big: DataFrame, label: str) -> DataFrame:
         """Each large node's members some levels further down: each node sends them on by their tokens at BRANCHES positions drawn for it."""
         width = POSITIONS // BRANCHES
-        rows = big.select("node", "cid", "depth").join(self.sigs, "cid")
+        rows = big.select("node", "cid", "tree", "depth").join(self.sigs, "cid")
         for _ in range(LEAP):
             place = [F.pmod(F.xxhash64("node", "depth", F.lit(i)), F.lit(width)) + i * width for i in range(BRANCHES)]
             child = F.array(*[F.xxhash64("node", F.lit(i), F.substring(F.col("sig"), (p * 4 + 1).cast("int"), F.lit(4))) for i, p in enumerate(place)])
-            rows = rows.select("cid", "sig", (F.col("depth") + 1).alias("depth"), F.explode(child).alias("node"))
-        kids = self.ws.write(rows.select("node", "cid", "depth"), f"kids-{label}")
+            rows = rows.select("cid", "tree", "sig", (F.col("depth") + 1).alias("depth"), F.explode(child).alias("node"))
+        kids = self.ws.write(rows.select("node", "cid", "tree", "depth"), f"kids-{label}")
         many = kids.groupBy("node").count().where("count > 1").select("node")
-        return kids.join(many, "node").select("node", "cid", "depth", F.lit(0).alias("age"))
+        return kids.join(many, "node").select("node", "cid", "tree", "depth", F.lit(0).alias("age"))
 
     def links(self) -> None:
         """Finds and confirms links between classes until no node of any tree has two labels left.
@@ -283,9 +289,9 @@ class Join:
         """
         ws = self.ws
         roots = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * t + 1, 4)) for t in range(TREES)])
-        keys = self.sigs.select("cid", F.explode(roots).alias("node"))
+        keys = self.sigs.select("cid", F.posexplode(roots).alias("tree", "node"))
         many = ws.write(keys.groupBy("node").count().where("count > 1").select("node"), "many")
-        nodes = keys.join(many, "node").select("node", "cid", F.lit(0).alias("depth"), F.lit(0).alias("age"))
+        nodes = keys.join(many, "node").select("node", "cid", "tree", F.lit(0).alias("depth"), F.lit(0).alias("age"))
         r = 0
         while True:
             level = self.described(nodes, str(r))
@@ -296,7 +302,7 @@ class Join:
             met = [self.closed(first, f"{r}-first", False)]
             if not last.isEmpty():
                 met.append(self.closed(last, f"{r}-last", True))
-            nodes = first.select("node", "cid", "depth", F.lit(1).alias("age"))
+            nodes = first.select("node", "cid", "tree", "depth", F.lit(1).alias("age"))
             if not big.isEmpty():
                 met.append(self.star(big, str(r)))
                 nodes = nodes.unionAll(self.children(big.where(F.col("depth") < MAX_DEPTH), str(r)))
@@ -312,15 +318,15 @@ class Join:
         size = deep.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("blocks", F.ceil(F.col("m") / NODE_LIMIT).cast("int")).withColumn("minor", F.col("label") != F.col("most"))
         own = size.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("minor", F.lit(False))
         guest = size.where("minor").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = own.unionByName(guest).select(F.xxhash64("node", "block", "chunk").alias("gid"), "cid", "label", "minor")
-        return self.compare(rows.groupBy("gid", "cid", "label").agg(F.max("minor").alias("minor")), f"{label}-rest", True)
+        rows = own.unionByName(guest).select(F.xxhash64("node", "block", "chunk").alias("gid"), "tree", "cid", "label", "minor")
+        return self.compare(rows.groupBy("gid", "tree", "cid", "label").agg(F.max("minor").alias("minor")), f"{label}-rest", True)
 
     def run(self) -> DataFrame:
         ws = self.ws
         sketch = self.sketch()
         classes = sketch.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low"))
         self.classes = ws.write(classes, "classes")
-        self.sigs = ws.write(sketch.select(F.col("rid").alias("cid"), "sig").join(self.classes.select("cid"), "cid"), "sigs")
+        self.sigs = ws.write(sketch.select(F.col("rid").alias("cid"), "n_shingles", "sig").join(self.classes.select("cid"), "cid"), "sigs")
         self.repeats = not sketch.groupBy("doc_id").count().where("count > 1").isEmpty()
         self.links()
         comp = self.labels if self.labels is not None else self.spark.createDataFrame([], "cid long, component long")

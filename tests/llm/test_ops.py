@@ -89,7 +89,11 @@ def test_large_nodes_branch_and_finish(spark, monkeypatch):
     assert all(got[i] == i for i in range(30)) and {got[i] for i in range(30, 60)} == {30}
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_components_of_a_long_chain(spark, monkeypatch, small):
+    from gristmill.llm import common
+
+    monkeypatch.setattr(common, "SMALL_EDGES", small)
     ids = np.random.default_rng(3).permutation(60)
     edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, ids[1:], strict=False)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(Workspace(spark, "t"), edges, "c").collect()}
