@@ -57,6 +57,15 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+#: Rows of a few numbers each that may be sent to every executor, some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds what one Arrow batch of long texts can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

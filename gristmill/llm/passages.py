@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, rolling, small_batches, words
+from .common import BROADCAST_ROWS, Workspace, bounded, rolling, small_batches, words
 from .minhash import runs
 
 SEED = 5
@@ -260,7 +260,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ws.release()
     pairs = ws.write(chains.groupBy("doc", "adoc").agg(F.array_sort(F.collect_list(F.struct("xs", "ys"))).alias("chains")), "pairs")
     need = pairs.select(F.explode(F.array("doc", "adoc")).alias("doc")).distinct()
-    texts = ws.write(docs.join(ws.write(need, "need"), "doc"), "texts")
+    texts = ws.write(docs.join(bounded(ws.write(need, "need")), "doc"), "texts")
     ws.release()
     both = pairs.join(texts.withColumnRenamed("text", "t1"), "doc").join(texts.select(F.col("doc").alias("adoc"), F.col("text").alias("t2")), "adoc")
 
@@ -290,7 +290,7 @@ def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     ws = ws or Workspace(docs.sparkSession, "cut")
     found = repeated_passages(docs, ws=ws)
     spans = ws.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut_spans_")), "spans")
-    rows = docs.join(spans, "doc_id", "left")
+    rows = docs.join(bounded(spans, BROADCAST_ROWS // 10), "doc_id", "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
