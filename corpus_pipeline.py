@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Workspace
+from gristmill.llm.common import Workspace, bounded
 from gristmill.llm.minhash import near_duplicates
 from gristmill.llm.mixing import mix_sources
 from gristmill.llm.packing import pack
@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ws = Workspace(spark, "stage-dedup")
     kept = ws.write(near_duplicates(docs).where("kept").select("doc_id").groupBy("doc_id").count(), "kept")
-    named = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    named = docs.join(bounded(kept.select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null")
@@ -42,6 +42,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: every document as often as it is taken, with the columns of documents."""
     repeats = mix_sources(docs).where("repeats > 0").groupBy(F.col("doc_id").alias("id_")).agg(F.max("repeats").alias("repeats"))
+    repeats = bounded(Workspace(spark, "stage-mix").write(repeats, "repeats"))
     rows = docs.join(repeats, docs["doc_id"].eqNullSafe(repeats["id_"]))
     return rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
 

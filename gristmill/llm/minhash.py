@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, mix64, rolling, small_batches, words
+from .common import BROADCAST_ROWS, Workspace, bounded, components, mix64, rolling, small_batches, words
 
 SHINGLE = 5
 PERCENT = 75
@@ -159,7 +159,8 @@ class Join:
         need = ws.write(ids.join(self.classes, "cid").select("cid", "low", "f1", "f2"), f"need-{k}")
         if need.isEmpty():
             return
-        texts = self.docs.join(need, self.docs["doc_id"].eqNullSafe(need["low"])).select("cid", "f1", "f2", "text")
+        near = bounded(need, BROADCAST_ROWS // 4)
+        texts = self.docs.join(near, self.docs["doc_id"].eqNullSafe(need["low"])).select("cid", "f1", "f2", "text")
 
         def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
