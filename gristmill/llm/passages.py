@@ -10,9 +10,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import BROADCAST_ROWS, Workspace, bounded, rolling, small_batches, words
-from .minhash import runs
+from .minhash import runs, union
 
 SEED = 5
 WINDOW = 8
@@ -22,6 +23,10 @@ SIMILARITY = 0.75
 REACH = 40
 SHIFT = 8
 AGREE = 4
+#: A passage has STRETCH successive windows of which the other text chooses SHARED alike.
+STRETCH, SHARED = MIN_WORDS - SEED - WINDOW + 2, 15
+#: Bounds of the earlier occurrences of a seed, nearest first, that one round meets.
+STEPS = (0, 1, 8, 64, 1 << 62)
 CHAR_WORD = re.compile(r"[^ \t-\r]+")
 
 
@@ -31,20 +36,21 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter((known[w] for w in ws), np.uint64, len(ws))
 
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the winnowed SEED-word runs: the least of every WINDOW successive ones.
+def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, windows) of the winnowed SEED-word runs: the least of every WINDOW successive ones.
 
-    Any SEED + WINDOW - 1 words that two texts share have a seed in common.
+    Any SEED + WINDOW - 1 words that two texts share have a seed in common. The windows that chose a seed follow each
+    other; they are held as WINDOW * (how far the first starts before the seed) + their number - 1.
     """
     if len(h) < SEED:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     g = rolling(h, SEED)
     if len(g) <= WINDOW:
         at = np.array([int(np.argmin(g))])
-    else:
-        low = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-        at = np.unique(low.argmin(1) + np.arange(len(low)))
-    return at, g[at]
+        return at, g[at], WINDOW * at
+    low = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
+    at, start, n = np.unique(low.argmin(1) + np.arange(len(low)), return_index=True, return_counts=True)
+    return at, g[at], WINDOW * (at - start) + n - 1
 
 
 def chain(xs: list[int], ys: list[int]) -> list[list[int]]:
@@ -211,6 +217,30 @@ def candidates(x: np.ndarray, adoc: np.ndarray, y: np.ndarray) -> list[tuple[int
     return out
 
 
+def rare(x: np.ndarray, windows: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    """The positions, of one document's repeated seeds, that find every other document with a passage of it.
+
+    An edit takes SEED shingles from either side, so a passage similar enough shares SHARED of some STRETCH successive
+    windows, and so one seed of any choice of the rest and one more. Those that occur nowhere else are chosen
+    first, then the rarest: a short phrase that many documents have brings no partners.
+    """
+    start, n = x - windows // WINDOW, windows % WINDOW + 1
+    stop, out = start + n, np.zeros(len(x), bool)
+    order = np.argsort(freq, kind="stable")
+    place = np.empty(len(x), np.int64)
+    place[order] = np.arange(len(x))
+    for s in np.unique(np.concatenate([np.maximum(start, 0), np.maximum(stop - STRETCH, 0)])):
+        i, j = np.searchsorted(stop, s, "right"), np.searchsorted(start, s + STRETCH)
+        if i < j:
+            inside = np.minimum(stop[i:j], s + STRETCH) - np.maximum(start[i:j], s)
+            left = STRETCH - SHARED + 1 - (STRETCH - inside.sum())
+            if left > 0:
+                by = np.argsort(place[i:j])
+                k = int(np.searchsorted(np.cumsum(inside[by]), left)) + 1
+                out[i + by[:k]] = True
+    return x[out]
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
     """Passages of more than 50 words that a document shares, exactly or nearly, with an earlier one (of smaller id).
 
@@ -218,12 +248,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     similarity, a row a passage and pair. Two passages are near if their sets of 5-word
     shingles have a Jaccard similarity of 0.75 or more. Words are as in the near-duplicate operator. Every
     seed points to its first occurrence, so a passage that thousands of documents share gives as many rows, not
-    their square; every such document is paired with the first that has the passage or with one that does. Null ids
+    their square; every such document is paired with the first that has the passage or with one that does. Repeated
+    words that gave no passage so meet their other earlier occurrences, nearest first, until none is left. Null ids
     and texts take no part; repeated rows are one document, and of different texts under one id the
     one of least hash counts. Empty tables give no rows; extra columns are ignored.
 
     Steps: winnowed seeds of all texts; the first place of each seed that occurs twice; matches
-    grouped by document, whose size bounds them, and chained; texts fetched for chained pairs only and aligned.
+    grouped by document, whose size bounds them, and chained; texts fetched for chained pairs only and aligned; then rounds
+    over the rare seeds outside the passages found so far, by STEPS.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "passages")
@@ -236,33 +268,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for f in frames:
             got = [seeds(word_hashes(t)) for t in f.text]
             if got:
-                yield pd.DataFrame({"h": np.concatenate([g for _, g in got]).view(np.int64), "doc": np.repeat(f.doc.to_numpy(), [len(p) for p, _ in got]), "x": np.concatenate([p for p, _ in got]).astype(np.int32)})
+                yield pd.DataFrame({"h": np.concatenate([g[1] for g in got]).view(np.int64), "doc": np.repeat(f.doc.to_numpy(), [len(g[0]) for g in got]), "x": np.concatenate([g[0] for g in got]).astype(np.int32), "win": np.concatenate([g[2] for g in got]).astype(np.int8)})
 
-    all_seeds = ws.write(docs.mapInPandas(sow, "h long, doc long, x int"), "seeds")
-    first = all_seeds.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("m"), F.max("doc").alias("last"))
-    first = ws.write(first.where("last <> m.doc").select("h", F.col("m.doc").alias("adoc"), F.col("m.x").alias("y")), "first")
+    all_seeds = ws.write(docs.mapInPandas(sow, "h long, doc long, x int, win byte"), "seeds")
+    first = all_seeds.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("m"), F.max("doc").alias("last"), F.count(F.lit(1)).cast("int").alias("freq"))
+    first = ws.write(first.where("last <> m.doc").select("h", F.col("m.doc").alias("adoc"), F.col("m.x").alias("y"), "freq"), "first")
     ws.release()
-    matches = all_seeds.join(first, "h").where("doc <> adoc").select("doc", "x", "adoc", "y")
+    matches = all_seeds.join(first, "h").where("doc <> adoc").select("doc", "x", "adoc", "y", "win", "freq")
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, cols = [], ["doc", "adoc", "xs", "ys"]
         for g in runs(frames, "doc"):
-            doc = int(g.doc.iloc[0])
-            out += [(doc, *c) for c in candidates(g.x.to_numpy(), g.adoc.to_numpy(), g.y.to_numpy())]
+            doc, x = int(g.doc.iloc[0]), g.x.to_numpy()
+            out += [(doc, *c) for c in candidates(x, g.adoc.to_numpy(), g.y.to_numpy())]
+            ask = rare(x, g.win.to_numpy().astype(np.int64), g.freq.to_numpy()).tolist()
+            if ask:
+                out.append((doc, None, ask, []))
             if len(out) > 5_000:
-                yield pd.DataFrame(out, columns=cols)
+                yield pd.DataFrame(out, columns=cols).astype({"adoc": "Int64"})
                 out = []
-        yield pd.DataFrame(out, columns=cols)
+        yield pd.DataFrame(out, columns=cols).astype({"adoc": "Int64"})
 
     rows = matches.repartition("doc").sortWithinPartitions("doc", "x")
     chains = ws.write(rows.mapInPandas(link, "doc long, adoc long, xs array<int>, ys array<int>"), "chains")
-    ws.drop("seeds", "first")
-    ws.release()
-    pairs = ws.write(chains.groupBy("doc", "adoc").agg(F.array_sort(F.collect_list(F.struct("xs", "ys"))).alias("chains")), "pairs")
-    need = pairs.select(F.explode(F.array("doc", "adoc")).alias("doc")).distinct()
-    texts = ws.write(docs.join(bounded(ws.write(need, "need")), "doc"), "texts")
+    ws.drop("first")
     ws.release()
-    both = pairs.join(texts.withColumnRenamed("text", "t1"), "doc").join(texts.select(F.col("doc").alias("adoc"), F.col("text").alias("t2")), "adoc")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["doc_id", "start", "end", "other_doc_id", "other_start", "other_end", "n_words", "similarity"]
@@ -271,14 +301,58 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for doc, adoc, cs, t1, t2 in zip(f.doc, f.adoc, f.chains, f.t1, f.t2, strict=True):
                 a, b, found = word_hashes(t1), word_hashes(t2), []
                 for c in cs:
-                    points = list(zip(c["xs"], c["ys"], strict=True))
-                    if not all(any(s <= x < e and t <= y < u for s, e, t, u, _ in found) for x, y in points):
-                        found += passages(a, b, align(a, b, points))
+                    xs, ys = list(c["xs"]), list(c["ys"])
+                    for part in chain(xs, ys) if c["loose"] else [range(len(xs))]:
+                        points = [(xs[i], ys[i]) for i in part]
+                        if not all(any(s <= x < e and t <= y < u for s, e, t, u, _ in found) for x, y in points):
+                            found += [p for p in passages(a, b, align(a, b, points)) if p not in found]
                 out += [(doc, s, e, adoc, t, u, e - s, like) for s, e, t, u, like in found]
             yield pd.DataFrame(out, columns=cols)
 
-    got = both.select("doc", "adoc", "chains", "t1", "t2").mapInPandas(check, "doc_id long, start int, end int, other_doc_id long, other_start int, other_end int, n_words int, similarity double")
-    return ws.write(got, "passages")
+    def confirm(pairs: DataFrame, label: str) -> DataFrame:
+        """Passages of pairs (doc, adoc, chains) on whole texts; a loose entry holds matches that are not chained yet."""
+        pairs = ws.write(pairs, f"pairs-{label}")
+        need = pairs.select(F.explode(F.array("doc", "adoc")).alias("doc")).distinct()
+        texts = ws.write(docs.join(bounded(ws.write(need, f"need-{label}")), "doc"), f"texts-{label}")
+        ws.release()
+        both = pairs.join(texts.withColumnRenamed("text", "t1"), "doc").join(texts.select(F.col("doc").alias("adoc"), F.col("text").alias("t2")), "adoc")
+        got = both.select("doc", "adoc", "chains", "t1", "t2").mapInPandas(check, "doc_id long, start int, end int, other_doc_id long, other_start int, other_end int, n_words int, similarity double")
+        got = ws.write(got, f"passages-{label}")
+        ws.drop(f"pairs-{label}", f"need-{label}", f"texts-{label}")
+        ws.release()
+        return got
+
+    def outside(asked: DataFrame, found: DataFrame) -> DataFrame:
+        """The seeds asked for that lie in no passage found."""
+        spans = ws.write(found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), f"covered-{len(out)}")
+        inside = F.exists("spans", lambda p: (p["start"] <= F.col("x")) & (F.col("x") + SEED <= p["end"]))
+        return asked.join(bounded(spans, BROADCAST_ROWS // 10), "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
+
+    chained = chains.where("adoc is not null").groupBy("doc", "adoc")
+    out = [confirm(chained.agg(F.array_sort(F.collect_list(F.struct("xs", "ys", F.lit(False).alias("loose")))).alias("chains")), "first")]
+    asked = ws.write(outside(chains.where("adoc is null").select("doc", F.explode("xs").alias("x")), out[0]), "asked-0")
+    if not asked.isEmpty():
+        asked = ws.write(all_seeds.join(bounded(asked), ["doc", "x"]).select("h", "doc", "x"), "asked-h")
+        some = bounded(ws.write(asked.select("h").distinct(), "asked-distinct"))
+        w = W.partitionBy("h").orderBy("doc")
+        # n: rows of the seed in earlier documents; at: the place of the row among all
+        ranked = all_seeds.join(some, "h", "left_semi").select("h", "doc", "x", (F.rank().over(w) - 1).alias("n"), (F.row_number().over(W.partitionBy("h").orderBy("doc", "x")) - 1).alias("at"))
+        ranked = ws.write(ranked, "ranked")
+        ws.drop("seeds")
+        asked = ws.write(asked.select("h", "doc", "x").join(ranked.select("h", "doc", "x", "n"), ["h", "doc", "x"]).where("n > 0"), "asked-ranked")
+        other = ranked.select("h", "at", F.col("doc").alias("adoc"), F.col("x").alias("y"))
+        for k, (lo, hi) in enumerate(zip(STEPS, STEPS[1:], strict=False)):
+            now = asked.where(F.col("n") > lo)
+            if now.isEmpty():
+                break
+            at = F.sequence(F.greatest(F.col("n").cast("long") - hi, F.lit(0)), F.col("n").cast("long") - 1 - lo)
+            met = now.select("h", "doc", "x", F.explode(at).alias("at")).join(other, ["h", "at"])
+            pairs = met.groupBy("doc", "adoc").agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("m"))
+            entry = F.struct(F.transform("m", lambda p: p["x"]).alias("xs"), F.transform("m", lambda p: p["y"]).alias("ys"), F.lit(True).alias("loose"))
+            out.append(confirm(pairs.select("doc", "adoc", F.array(entry).alias("chains")), f"step-{k}"))
+            asked = ws.write(outside(asked, out[-1]), f"left-{k}")
+    ws.drop("seeds", "ranked")
+    return ws.write(union(out).distinct(), "passages")
 
 
 def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:

@@ -340,6 +340,22 @@ def test_chain_follows_the_order():
     assert passages.chain([0, 500], [0, 500]) == [[0], [1]]
 
 
+def test_passages_of_mosaics(spark):
+    """Pieces that occur earlier in other documents, alone or between, hide no partner; nor does an edited first copy."""
+    g = np.random.default_rng(11)
+    whole, r = prose(g, 90).split(), prose(g, 110).split()
+    p, q, both = " ".join(whole[:50]), " ".join(whole[40:]), " ".join(whole)
+    edited = r[:]
+    edited[55] = "edit"
+    around = lambda t: f"{prose(g, 40)} {t} {prose(g, 40)}"
+    texts = [around(p), around(q), around(both), *[around(t) for _ in range(5) for t in (p, q)], around(both)]
+    texts += [around(" ".join(t)) for t in (r[:45], r[40:85], r[75:], r, edited)]
+    texts += [around(p) for _ in range(3)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.other_doc_id): (x.start, x.end) for x in passages.repeated_passages(d).collect()}
+    assert got == {(13, 2): (40, 130), (18, 17): (40, 150)}
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>site</header><nav><a href=/>home</a></nav>
 <div class="cookie-notice">we use cookies</div><div id=content><div class="post"><h1>Head &amp; line</h1><p>First   <b>bold</b> text&nbsp;here, long enough to weigh something in any density.<p>Second
 line with <a href=x>a link</a> and more words to make it the main part of the page.</div></div>
