@@ -89,6 +89,15 @@ def test_large_nodes_branch_and_finish(spark, monkeypatch):
     assert all(got[i] == i for i in range(30)) and {got[i] for i in range(30, 60)} == {30}
 
 
+def test_shared_roots_are_no_comparison():
+    """A pair that shares every root is compared in a later node: it may have been parted in each."""
+    sig = np.ones((2, minhash.POSITIONS), np.uint32)
+    sig[1, 160:] = 2
+    one = np.arange(2)
+    tree = (9,) if "tree" in minhash.node_pairs.__code__.co_varnames else ()
+    assert minhash.node_pairs(one, sig, np.array([100, 100]), one, np.array([True, True]), *tree, True) == [(0, 1)]
+
+
 @pytest.mark.parametrize("small", [0, 20_000])
 def test_components_of_a_long_chain(spark, monkeypatch, small):
     from gristmill.llm import common
