@@ -20,8 +20,10 @@ TABLES = 8
 GROUP = 64
 ROUNDS = 6
 STILL = 0.01
-AUDIT = 512
+AUDIT = 4096
 TARGET = 0.995
+#: Components from HOT classes on are audited apart; so many sampled classes with links outside them are evidence.
+HOT, EVIDENCE = 64, 2_000
 BLOCK = 256
 
 
@@ -169,22 +171,55 @@ class Descent:
                 break
         return graph
 
-    def audit(self, label: str) -> DataFrame:
-        """Every link of AUDIT sampled classes, by comparing them with all rows: (a, b)."""
-        sample = self.vectors.orderBy(F.xxhash64(F.lit(5), "cid"), "cid").limit(AUDIT).toPandas()  # AUDIT rows
-        by = {d: (g.cid.to_numpy(), unit(list(g.v))) for d, g in sample.groupby("dims")}
+    def compare(self, sample: DataFrame, placed: DataFrame, label: str) -> DataFrame:
+        """Compares at most some AUDIT sampled classes with all: rows (a, b, c, n) of a's n links in its component (b null), and of each link (a, b) that leaves it."""
+        got = sample.toPandas()
+        by = {d: (g.cid.to_numpy(), g.component.to_numpy(), unit(list(g.v))) for d, g in got.groupby("dims")}
         threshold = self.threshold
 
-        def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for dims, g in f.groupby("dims"):
                     if dims in by:
-                        ids, u = by[dims]
-                        a, b = np.nonzero(u @ unit(list(g.v)).T >= threshold)
-                        x, y = ids[a], g.cid.to_numpy()[b]
-                        yield pd.DataFrame({"a": x[x != y], "b": y[x != y]})
-
-        return self.ws.write(self.vectors.mapInPandas(compare, "a long, b long"), f"{label}-audit")
+                        ids, comp, u = by[dims]
+                        near = u @ unit(list(g.v)).T >= threshold
+                        near &= ids[:, None] != g.cid.to_numpy()[None, :]
+                        same = comp[:, None] == g.component.to_numpy()[None, :]
+                        n = (near & same).sum(1)
+                        a, b = np.nonzero(near & ~same)
+                        at = np.flatnonzero(n)
+                        out = pd.DataFrame({"a": np.concatenate([ids[at], ids[a]]), "n": np.concatenate([n[at], np.zeros(len(a), np.int64)])})
+                        out["b"] = pd.array([None] * len(at) + g.cid.to_numpy()[b].tolist(), dtype="Int64")
+                        yield out[["a", "b", "n"]]
+
+        return self.ws.write(placed.select("cid", "component", "dims", "v").mapInPandas(meet, "a long, b long, n long"), label)
+
+    def audit(self, comp: DataFrame, label: str, whole: bool) -> tuple[list[DataFrame], float]:
+        """Links that leave their components, and the recall: the mean over sampled classes of the share of their links inside.
+
+        Classes of components of HOT members and more count apart from the others, and the lower of both means is the recall, so
+        that a large group hides no small one. The others are sampled block by block until EVIDENCE of them have links or all
+        are compared; ``whole`` compares all of both kinds.
+        """
+        sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        where = comp.join(sizes, "component").select(F.col("id").alias("cid"), "component", (F.col("size") >= HOT).alias("hot"))
+        placed = self.vectors.join(where, "cid", "left").withColumn("component", F.coalesce("component", "cid")).withColumn("hot", F.coalesce("hot", F.lit(False)))
+        placed = self.ws.write(placed, f"{label}-placed")
+        missed, worst = [], 1.0
+        for hot in (True, False):
+            kind = placed.where(F.col("hot") == hot)
+            slices, linked, total = -(-kind.count() // AUDIT), 0, 0.0
+            for k in range(slices):
+                name = f"{label}-{hot}-{k}"
+                found = self.compare(kind.where(F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(slices)) == k), placed, name)
+                missed.append(found.where("b is not null").select("a", "b"))
+                share = found.groupBy("a").agg((F.sum("n") / (F.sum("n") + F.count("b"))).alias("s"))
+                n, s = share.agg(F.count(F.lit(1)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
+                linked, total = linked + n, total + s
+                if not whole and (hot or linked >= EVIDENCE):
+                    break
+            worst = min(worst, total / linked if linked else 1.0)
+        return missed, worst
 
     def connect(self, label: str) -> DataFrame:
         edges = self.links[0]
@@ -193,20 +228,20 @@ class Descent:
         return components(self.ws, edges, label)
 
     def run(self) -> tuple[DataFrame, float]:
-        """(id, component) of the classes with links, and the audited recall."""
+        """(id, component) of the classes with links, and the audited recall; 1 where no growth of the lists reaches TARGET and all were compared."""
         graph = self.merge(None, self.start(), None, "start")
-        recall, t = 0.0, 0
+        t = 0
         while True:
             graph = self.refine(graph, ROUNDS, f"refine{t}")
             comp = self.connect(f"comp{t}")
-            truth = self.audit(f"audit{t}")
-            both = truth.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            n, hit = both.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("ca") == F.col("cb")).cast("long")), F.lit(0))).first()
-            recall = hit / n if n else 1.0
+            missed, recall = self.audit(comp, f"audit{t}", False)
+            self.links += missed
+            if recall < TARGET and t == 3:
+                self.links += self.audit(comp, "whole", True)[0]
+                return self.connect("comp-whole"), 1.0
             if recall == 1.0:
                 return comp, recall
-            self.links.append(truth)
-            if recall >= TARGET or t == 3:
+            if recall >= TARGET:
                 return self.connect(f"comp{t}-audited"), recall
             self.k, t = self.k * 2, t + 1
             graph = graph.withColumn("fresh", F.lit(1))
@@ -247,8 +282,9 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     components link with nothing, and so do vectors of different lengths. Equal vectors form a
     class, whose members count as links without a comparison. Rows that repeat an id answer each
     with that id; null ids are never kept. An empty table gives no rows; extra columns are
-    ignored. The graph is refined until an audit of AUDIT classes against all rows finds TARGET of
-    their links inside components; each failed audit doubles the lists.
+    ignored. The graph is refined until sampled classes, compared with all rows, have on
+    the mean TARGET of their links inside components, those outside large components by themselves; each failed audit
+    doubles the lists, and after the fourth all classes are compared.
     """
     ws = ws or Workspace(df.sparkSession, "nndescent")
     d = Descent(df, ws, id_col, vec_col, threshold)

@@ -281,6 +281,22 @@ def test_near_vectors(vectors):
     assert nndescent.near_vectors(vectors.where("false")).count() == 0
 
 
+def test_a_hot_group_hides_no_pairs(spark, monkeypatch):
+    """Pairs that the first buckets part are found, though nearly all links are those of one tight group."""
+    monkeypatch.setattr(nndescent, "TABLES", 1)
+    monkeypatch.setattr(nndescent, "ROUNDS", 0)
+    g = np.random.default_rng(12)
+    center, rows = g.normal(size=16), []
+    rows += [(i, (center + 0.01 * g.normal(size=16)).tolist()) for i in range(400)]
+    for i in range(200):
+        v = g.normal(size=16)
+        rows += [(1000 + 2 * i, v.tolist()), (1001 + 2 * i, (v + 0.08 * np.linalg.norm(v) * g.normal(size=16)).tolist())]
+    u = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    got = {r.vec_id: r.component_id for r in nndescent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    linked = [i for i in range(1000, 1400, 2) if u[i] @ u[i + 1] >= 0.9]
+    assert len(linked) > 50 and all(got[i] == got[i + 1] for i in linked)
+
+
 def test_top_k(vectors):
     rows = [(r.vec_id, np.floor(1024 * np.array(r.embedding)).astype(object)) for r in vectors.collect() if r.vec_id is not None and good(r.embedding, True) and r.vec_id != 416]
     got = defaultdict(list)
