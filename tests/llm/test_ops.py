@@ -98,6 +98,14 @@ def test_shared_roots_are_no_comparison():
     assert minhash.node_pairs(one, sig, np.array([100, 100]), one, np.array([True, True]), *tree, True) == [(0, 1)]
 
 
+def test_the_cut_loses_hardly_a_pair_at_the_threshold():
+    from math import comb
+
+    n = minhash.POSITIONS
+    lost = sum(comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(n + 1) if k / n < minhash.MAYBE)
+    assert lost < 2e-5
+
+
 @pytest.mark.parametrize("small", [0, 20_000])
 def test_components_of_a_long_chain(spark, monkeypatch, small):
     from gristmill.llm import common
