@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -35,7 +35,7 @@ def tokens(text: str | None) -> list[str]:
     for m in TOKEN.finditer(text or ""):
         w = m.group()
         low = w.lower()
-        out.append("<again>" if low == last else low[:24])
+        out.append("<again>" if low == last else low if len(low) <= 24 else f"{low[:8]}<{zlib.crc32(low.encode('utf-8', 'surrogatepass')):x}>")
         if len(w) > 1 and w.isupper():
             out.append("<caps>")
         last = low
@@ -148,7 +148,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 60)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Model:
-    """Fits on at most ``max_rows`` labelled rows of at most ``max_bytes`` of text in all, those of least hash; held-out ids never enter.
+    """Fits on at most ``max_rows`` labelled rows of at most ``max_bytes`` of text in all, those of least hash; a text that does not fit what is left is passed over; held-out ids never enter.
 
     A row is held out if crc32 of its id as text is 2 modulo 4. Without labelled rows of both
     kinds the model answers with their share (0.5 for none).
@@ -158,9 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = lab.orderBy("h", "id_").limit(max_rows)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = rows.join(F.broadcast(lab), "id_")  # at most max_rows rows of labels
-    by = W.orderBy("h", "id_", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
-    size = picked.select("id_", "h", "y", "text", F.octet_length("text").cast("long").alias("b"))
-    got = size.withColumn("total", F.sum("b").over(by)).where(F.col("total") <= max_bytes).orderBy("h", "id_", F.xxhash64("text")).select("text", "y").toPandas()
+    picked = picked.withColumn("x", F.xxhash64("text")).withColumn("b", F.octet_length("text").cast("long"))
+    left, taken = max_bytes, []
+    for r in picked.groupBy("h", "id_", "x").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("c")).orderBy("h", "id_", "x").toLocalIterator():  # rows of numbers
+        if r.b * r.c <= left:
+            left -= r.b * r.c
+            taken.append((r.id_, r.x))
+    some = docs.sparkSession.createDataFrame(taken, T.StructType([picked.schema["id_"], picked.schema["x"]]))
+    got = picked.join(F.broadcast(some), ["id_", "x"]).orderBy("h", "id_", "x").select("text", "y").toPandas()
     y = got["y"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         model = word_vectors(list(got["text"]))

@@ -182,6 +182,17 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.classify(d, lab.where("false")).collect()} == {0.5}
 
 
+def test_a_text_over_the_budget_leaves_the_others(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "long " * 500 if i % 2 else f"some words {i} again") for i in range(60)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y: seen.extend(texts))
+    quality.fit(d, lab, max_bytes=2_000)
+    assert sum(t.startswith("some") for t in seen) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 60, 2))
+    a, b = "x" * 24 + "one", "x" * 24 + "two"
+    assert quality.tokens(a) != quality.tokens(b)
+
+
 def test_token_files(spark, docs, empty):
     enc = tokens.Encoder(tokenizer_path()).tokenizer
     got = tokens.token_round_trip(docs, tokenizer_path()).collect()
