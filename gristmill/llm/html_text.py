@@ -89,6 +89,8 @@ def parse(html: str) -> Node:
             while open_.name == "head":
                 open_ = open_.parent
             continue
+        if name in ("svg", "math") and m[3].endswith("/"):
+            continue
         if name in RAW:
             close = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             at = html.find(">", close.start()) + 1 if close else end

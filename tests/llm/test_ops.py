@@ -416,6 +416,10 @@ def test_html(spark):
     assert [r.text for r in got][1:3] == ["", ""]
 
 
+def test_self_closed_svg_is_empty():
+    assert main_text("<article><p>one</p><svg class='x' /><p>two <math/>three</p><svg><path/>no</svg></article>") == "one\n\ntwo three"
+
+
 def test_pipeline_on_odd_tables(spark, docs, tmp_path):
     import corpus_pipeline
 
