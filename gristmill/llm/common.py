@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges that one task may fold.
-SMALL_EDGES = 20_000
+SMALL_EDGES = 200_000
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
 

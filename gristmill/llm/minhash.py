@@ -3,28 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Workspace, bounded, components, mix64, rolling, small_batches, words
 
 SHINGLE = 5
 PERCENT = 75
-POSITIONS = 192
+#: Trees whose roots enter in each round; the first find most links, so that the later ones start with labels.
+ROUNDS_OF_TREES = ((0, 1), (2, 3, 4, 5), (6, 7, 8, 9))
 TREES = 10
 BRANCHES = 2
-NODE_LIMIT = 48
-CHUNK = 1024
-LEAP = 3
+#: Members that one task compares at a time.
+BLOCK = 128
+#: A node is compared exhaustively if its members times those outside its most frequent label are no more than this squared.
+NODE_LIMIT = 2048
 MAX_DEPTH = 12
-#: An estimate from POSITIONS minima has a standard deviation of 0.031 at the threshold: MAYBE is four and a half of them below, SURE nearly five above.
-MAYBE, SURE = 0.61, 0.9
-
-_multipliers = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -37,12 +36,17 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(rolling(h, min(SHINGLE, len(h))))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The minwise token of a set under each of POSITIONS hash functions, as 32 bits."""
-    low = np.full(POSITIONS, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(s), 1024):
-        low = np.minimum(low, ((_multipliers[:, None] * s[None, at : at + 1024]) >> np.uint64(32)).min(1))
-    return low.astype("<u4")
+def seeds_of(key: int, n: int) -> np.ndarray:
+    """n hash seeds that a key decides."""
+    return mix64(np.uint64(key & 0xFFFFFFFFFFFFFFFF) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+ROOT_SEEDS = seeds_of(0, TREES)
+
+
+def tokens(s: np.ndarray, seeds: np.ndarray) -> list[int]:
+    """The minwise token of a set under the hash function of each seed, as signed 64 bits."""
+    return [int(mix64(s ^ x).min()) - 2**63 for x in seeds]
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -51,14 +55,6 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 |a and b| >= PERCENT |a or b|, exactly."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
 def runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The groups of frames sorted by key; a group may reach over frames."""
     held: pd.DataFrame | None = None
@@ -79,86 +75,84 @@ def runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def node_pairs(ids: np.ndarray, sig: np.ndarray, sizes: np.ndarray, labels: np.ndarray, minor: np.ndarray, last: bool) -> list[tuple[int, int]]:
-    """Compares a small node by the estimate; the pairs to confirm.
+def node_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Compares all members of different labels on their full sets; links (label, label) that span what they connect.
 
-    Every minor member meets every member of another label; pairs of one label are linked already. At
-    first a spanning forest of the most similar pairs is enough to join what can be joined.
-    The ``last`` time all pairs count but those that close a cycle of sure ones, which change no component.
-    Sizes further apart than the threshold allows rule a pair out; that it shared earlier roots does not, as large ones branch.
+    Members of one label are linked already, so those of the most frequent label meet the others only.
     """
-    rows = np.flatnonzero(minor)
-    est = np.stack([(sig == sig[i]).mean(1) for i in rows])
-    est[100 * np.minimum(sizes[rows][:, None], sizes[None, :]) < PERCENT * np.maximum(sizes[rows][:, None], sizes[None, :])] = 0
-    a, b = np.nonzero((est >= MAYBE) & (labels[rows][:, None] != labels[None, :]))
-    order = np.argsort(-est[a, b], kind="stable")
-    up = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    first: dict = {}
-    for i, lab in enumerate(labels.tolist()):
-        up[i] = first.setdefault(lab, i)
-    out = set()
-    for k in order:
-        i, j = int(rows[a[k]]), int(b[k])
-        x, y = root(i), root(j)
-        if x == y:
-            continue
-        out.add((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
-        if not last or est[a[k], b[k]] >= SURE:
-            up[x] = y
-    return sorted(out)
+    _, at, n = np.unique(labels, return_inverse=True, return_counts=True)
+    if len(n) < 2:
+        return []
+    size = np.array([len(s) for s in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[element] > 1
+    member, element = np.repeat(np.arange(len(sets)), size)[shared], element[shared]
+    ends = np.cumsum(np.bincount(member, minlength=len(sets)))
+    near = np.zeros((len(sets), len(sets)), bool)
+    mark = np.zeros(len(times), bool)
+    for i in np.flatnonzero(at != np.argmax(n)):
+        own = element[(ends[i - 1] if i else 0) : ends[i]]
+        if len(own):
+            mark[own] = True
+            both = np.bincount(member[mark[element]], minlength=len(sets))
+            mark[own] = False
+            near[i] |= (100 * both >= PERCENT * (size[i] + size - both)) & (at != at[i])
+    near |= near.T
+    out, new = [], np.ones(len(sets), bool)
+    for start in np.flatnonzero(near.any(1)):
+        todo = [start] if new[start] else []
+        new[start] = False
+        while todo:
+            i = todo.pop()
+            reached = np.flatnonzero(new & (near[i] | (at == at[i])))
+            new[reached] = False
+            out += [(int(labels[i]), int(labels[j])) for j in reached if at[j] != at[i]]
+            todo += reached.tolist()
+    return out
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+    return reduce(DataFrame.unionAll, frames)
 
 
 class Join:
-    """One similarity join; classes are documents of equal shingle sets, cid is a class."""
+    """One similarity join; classes are documents of equal shingle sets, cid is a class, a label the least cid of a component."""
 
     def __init__(self, docs: DataFrame, ws: Workspace, id_col: str, text_col: str):
         self.ws, self.spark = ws, docs.sparkSession
         small_batches(self.spark)
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.sets: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
-        self.found: list[DataFrame] = []
+        text = F.col(text_col).cast("string")
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
         self.labels: DataFrame | None = None
 
     def sketch(self) -> DataFrame:
+        """Per document its set's size, fingerprint and root tokens; rid numbers the rows."""
+
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out = []
-                for doc, text in zip(f.doc_id, f.text, strict=True):
+                for doc, text, mark in zip(f.doc_id, f.text, f.text_hash, strict=True):
                     s = shingles(text)
-                    f1, f2 = fingerprint(s)
-                    out.append((None if pd.isna(doc) else int(doc), len(s), f1, f2, minima(s).tobytes() if len(s) else None))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "sig"]).astype({"doc_id": "Int64"})
+                    out.append((None if pd.isna(doc) else int(doc), mark, len(s), *fingerprint(s), tokens(s, ROOT_SEEDS) if len(s) else []))
+                yield pd.DataFrame(out, columns=["doc_id", "text_hash", "n_shingles", "f1", "f2", "roots"]).astype({"doc_id": "Int64"})
 
-        got = self.docs.mapInPandas(make, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+        got = self.docs.mapInPandas(make, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, roots array<long>")
         return self.ws.write(got.withColumn("rid", F.monotonically_increasing_id()), "sketch")
 
-    def fetch(self, ids: DataFrame) -> None:
-        """Stages the full shingle sets of classes that have none yet, in one pass over the documents."""
-        ws, k = self.ws, len(self.sets)
-        for have in self.sets:
-            ids = ids.join(have.select("cid"), "cid", "left_anti")
-        need = ws.write(ids.join(self.classes, "cid").select("cid", "low", "f1", "f2"), f"need-{k}")
-        if need.isEmpty():
-            return
+    def roots(self) -> DataFrame:
+        """The roots with several members: (node, cid, tree)."""
+        keys = self.classes.select("cid", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cid", "tree")
+        many = keys.groupBy("node").count().where("count > 1").select("node")
+        return self.ws.write(keys.join(many, "node").select("node", "cid", "tree"), "roots")
+
+    def fetch(self) -> DataFrame:
+        """The full shingle sets of the classes in such roots, in one more pass over their texts."""
+        ids = self.nodes.select("cid").distinct()
+        need = self.ws.write(self.classes.join(ids, "cid").select("cid", "f1", "f2", F.col("lead.doc_id").alias("d_"), F.col("lead.text_hash").alias("t_")), "need")
         near = bounded(need, BROADCAST_ROWS // 4)
-        texts = self.docs.join(near, self.docs["doc_id"].eqNullSafe(need["low"])).select("cid", "f1", "f2", "text")
+        texts = self.docs.join(near, self.docs["doc_id"].eqNullSafe(near["d_"]) & (self.docs["text_hash"] == near["t_"])).select("cid", "f1", "f2", "text")
 
-        def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out = []
                 for cid, f1, f2, text in zip(f.cid, f.f1, f.f2, f.text, strict=True):
@@ -167,173 +161,147 @@ class Join:
                         out.append((cid, s.tobytes()))
                 yield pd.DataFrame(out, columns=["cid", "s"])
 
-        have = texts.mapInPandas(sets, "cid long, s binary")
-        self.sets.append(ws.write(have.dropDuplicates(["cid"]) if self.repeats else have, f"sets-{k}"))
-        ws.release()
-
-    def verify(self, pairs: DataFrame) -> bool:
-        """Confirms pairs (a, b) of classes on whole shingle sets; False if none was new."""
-        ws, k = self.ws, len(self.tested)
-        pairs = pairs.distinct()
-        for old in self.tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = ws.write(pairs, f"pairs-{k}")
-        if pairs.isEmpty():
-            return False
-        self.tested.append(pairs)
-        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-        have = union(self.sets)
-        both = pairs.join(have.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-
-        def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(f.sa, f.sb, strict=True)]
-                yield f.loc[ok, ["a", "b"]]
-
-        self.found.append(ws.write(both.select("a", "b", "sa", "sb").mapInPandas(confirm, "a long, b long"), f"links-{k}"))
-        ws.release()
-        return True
-
-    def compare(self, groups: DataFrame, label: str, last: bool) -> DataFrame:
-        """Pairs to confirm from groups (gid, cid, label, minor) of bounded size."""
-        rows = self.ws.write(groups, f"groups-{label}").join(self.sigs, "cid")
-
-        def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out: list[tuple[int, int]] = []
-            for g in runs(frames, "gid"):
-                minor = g.minor.to_numpy()
-                if minor.any():
-                    sig = np.frombuffer(b"".join(g.sig), "<u4").reshape(len(g), POSITIONS)
-                    out += node_pairs(g.cid.to_numpy(), sig, g.n_shingles.to_numpy(), g.label.to_numpy(), minor, last)
-                if len(out) > 10_000:
-                    yield pd.DataFrame(out, columns=["a", "b"])
-                    out = []
-            yield pd.DataFrame(out, columns=["a", "b"])
+        sets = texts.mapInPandas(make, "cid long, s binary")
+        if not self.docs.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+            sets = sets.dropDuplicates(["cid"])
+        return self.ws.write(sets, "sets")
 
-        rows = rows.select("gid", "cid", "label", "minor", "n_shingles", "sig").repartition("gid").sortWithinPartitions("gid")
-        return self.ws.write(rows.mapInPandas(meet, "a long, b long"), f"met-{label}")
+    def with_sets(self, rows: DataFrame) -> DataFrame:
+        """Staged rows with the sets of their classes; sets that no row needs stay where they are."""
+        ids = bounded(rows.select("cid").distinct(), BROADCAST_ROWS // 4)
+        return rows.join(self.sets.join(ids, "cid", "left_semi"), "cid")
 
-    def closed(self, level: DataFrame, label: str, last: bool) -> DataFrame:
-        """Pairs from nodes (node, cid, label, n, most, m) with at most NODE_LIMIT members outside their most frequent label.
+    def described(self, nodes: DataFrame, r: int) -> DataFrame:
+        """Nodes with their labels as known now, and of each: size n and members m outside its most frequent label.
 
-        Small nodes are compared as they are, equal ones once. In the others the few
-        minor members meet all, dealt out in chunks, with a copy of the minor ones in each.
+        Nodes of one label are done and absent, and of small ones with the same members one stays.
+        Counts are by node and label, so that a label with most of a node's members is counted before the shuffle.
         """
-        small = level.where(F.col("n") <= NODE_LIMIT).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cid", "label"))).alias("m")).select("m").distinct()
-        small = small.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.cid", "x.label", F.lit(True).alias("minor"))
-        wide = level.where((F.col("n") > NODE_LIMIT) & (F.col("m") <= NODE_LIMIT)).withColumn("minor", F.col("label") != F.col("most")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-        own = F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-        wide = wide.withColumn("chunk", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
-        return self.compare(small.unionAll(wide.select(F.xxhash64("node", "chunk").alias("gid"), "cid", "label", "minor")), label, last)
+        ws = self.ws
+        rows = nodes.withColumn("label", F.col("cid")) if self.labels is None else nodes.join(self.labels, "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+        rows = ws.write(rows, f"labelled-{r}")
+        same = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"x{i}") for i in range(2)]
+        per = rows.groupBy("node", "age", "label").agg(F.count(F.lit(1)).alias("c"), *same)
+        s = per.groupBy("node", "age").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("kinds"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)]).where("kinds > 1")
+        s = ws.write(s.select("node", "age", "n", F.col("top.label").alias("most"), (F.col("n") - F.col("top.c")).alias("m"), "x0", "x1"), f"stats-{r}")
+        small = (F.col("age") == 0) & (F.col("n") <= BLOCK)
+        one = s.where(small).groupBy("n", "x0", "x1").agg(F.min("node").alias("node"))
+        s = ws.write(s.where(~small).select("node", "n", "m", "most").unionAll(one.join(s, ["node", "n", "x0", "x1"]).select("node", "n", "m", "most")), f"open-{r}")
+        out = ws.write(rows.join(bounded(s, BROADCAST_ROWS // 4), "node"), f"level-{r}")
+        ws.drop(f"labelled-{r}", f"stats-{r}")
+        return out
+
+    @staticmethod
+    def within(level: DataFrame) -> DataFrame:
+        """Each node once: whole if it is small, else dealt out in blocks of about BLOCK members that are compared each by itself."""
+        block = F.pmod(F.xxhash64("cid", "node"), F.ceil(F.col("n") / BLOCK))
+        return level.select(F.when(F.col("n") <= BLOCK, F.xxhash64("node")).otherwise(F.xxhash64("node", block)).alias("unit"), "cid", "label")
+
+    @staticmethod
+    def across(level: DataFrame) -> DataFrame:
+        """All pairs of labels of each node: every block of members outside the most frequent label meets every block of the node."""
+        p, q = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("n") - F.col("m")) / BLOCK)
+        h = F.xxhash64("cid", "node")
+        minor = F.col("label") != F.col("most")
+        own = F.when(minor, F.pmod(h, p)).otherwise(p + F.pmod(h, q)).cast("int")
+        rows = level.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, p + q - 1).otherwise(p - 1).cast("int"))))
+        return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "cid", "label")
+
+    def meet(self, units: DataFrame, r: int) -> DataFrame:
+        """Links between labels from units (unit, cid, label) of bounded size, confirmed on full sets."""
+        rows = self.with_sets(self.ws.write(units, f"units-{r}"))
+
+        def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in runs(frames, "unit"):
+                out = node_links(g.label.to_numpy(), [np.frombuffer(s, np.uint64) for s in g.s])
+                if out:
+                    yield pd.DataFrame(out, columns=["a", "b"])
+
+        rows = rows.select("unit", "cid", "label", "s").repartition("unit").sortWithinPartitions("unit")
+        return self.ws.write(rows.mapInPandas(compare, "a long, b long").distinct(), f"links-{r}")
 
-    def estimate(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) of rows (a, b, sig, other) whose estimate reaches MAYBE."""
+    def children(self, big: DataFrame, r: int) -> DataFrame:
+        """The members of large nodes one level down, BRANCHES times each: every node draws hash functions of its own for its members' minwise tokens."""
+        rows = self.with_sets(self.ws.write(big.select("node", "cid", "tree", "depth"), f"big-{r}"))
 
-        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def branch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                if len(f):
-                    x, y = (np.frombuffer(b"".join(f[c]), "<u4").reshape(len(f), POSITIONS) for c in ("sig", "other"))
-                    yield f.loc[(x == y).mean(1) >= MAYBE, ["a", "b"]]
-
-        return rows.select("a", "b", "sig", "other").mapInPandas(near, "a long, b long")
-
-    def star(self, big: DataFrame, label: str) -> DataFrame:
-        """Pairs of a member drawn at random from each large node and its members of other labels."""
-        rank = F.struct(F.xxhash64("node", "cid", F.lit(label)).alias("h"), F.col("cid").alias("c"), F.col("label").alias("l"))
-        lead = self.ws.write(big.groupBy("node").agg(F.min(rank).alias("m")).select("node", F.col("m.c").alias("lead"), F.col("m.l").alias("lead_label")), f"lead-{label}")
-        pairs = big.join(lead, "node").where("label <> lead_label").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-        pairs = self.ws.write(pairs, f"star-{label}")
-        rows = pairs.join(self.sigs.select(F.col("cid").alias("a"), "sig"), "a").join(self.sigs.select(F.col("cid").alias("b"), F.col("sig").alias("other")), "b")
-        return self.ws.write(self.estimate(rows), f"near-{label}")
-
-    def described(self, nodes: DataFrame, label: str) -> DataFrame:
-        """Nodes (node, cid, tree, depth, age) with labels as known now, and of each: size n, most frequent label, members m outside it.
-
-        Nodes of one label are done and absent. Counts are by node and label, so that a label with
-        most of a node's members is counted before the shuffle.
-        """
-        ws = self.ws
-        rows = nodes.withColumn("label", F.col("cid")) if self.labels is None else nodes.join(self.labels, "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
-        rows = ws.write(rows, f"labelled-{label}")
-        per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
-        s = per.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        s = ws.write(s.select("node", "n", F.col("top.label").alias("most"), (F.col("n") - F.col("top.c")).alias("m")), f"stats-{label}")
-        return ws.write(rows.join(s, "node"), f"level-{label}")
-
-    def children(self, big: DataFrame, label: str) -> DataFrame:
-        """Each large node's members some levels further down: each node sends them on by their tokens at BRANCHES positions drawn for it."""
-        width = POSITIONS // BRANCHES
-        rows = big.select("node", "cid", "tree", "depth").join(self.sigs, "cid")
-        for _ in range(LEAP):
-            place = [F.pmod(F.xxhash64("node", "depth", F.lit(i)), F.lit(width)) + i * width for i in range(BRANCHES)]
-            child = F.array(*[F.xxhash64("node", F.lit(i), F.substring(F.col("sig"), (p * 4 + 1).cast("int"), F.lit(4))) for i, p in enumerate(place)])
-            rows = rows.select("cid", "tree", "sig", (F.col("depth") + 1).alias("depth"), F.explode(child).alias("node"))
-        kids = self.ws.write(rows.select("node", "cid", "tree", "depth"), f"kids-{label}")
-        many = kids.groupBy("node").count().where("count > 1").select("node")
-        return kids.join(many, "node").select("node", "cid", "tree", "depth", F.lit(0).alias("age"))
+                kids = []
+                for node, s in zip(f.node, f.s, strict=True):
+                    seeds = seeds_of(node, BRANCHES)
+                    low = np.array(tokens(np.frombuffer(s, np.uint64), seeds), np.int64).view(np.uint64)
+                    kids.append(mix64(low ^ mix64(seeds)).view(np.int64))
+                if kids:
+                    yield pd.DataFrame({"node": np.concatenate(kids), "cid": np.repeat(f.cid.to_numpy(), BRANCHES), "tree": np.repeat(f.tree.to_numpy(), BRANCHES), "depth": np.repeat(f.depth.to_numpy() + 1, BRANCHES)})
+
+        return self.ws.write(rows.select("node", "cid", "tree", "depth", "s").mapInPandas(branch, "node long, cid long, tree int, depth int"), f"kids-{r}").withColumn("age", F.lit(0))
+
+    def relabel(self, links: DataFrame, r: int) -> None:
+        """Joins the labels that links connect; a class that no link has reached yet is a label of its own and not in the table."""
+        merged = components(self.ws, links, f"round-{r}")
+        if self.labels is None:
+            self.labels = merged.withColumnRenamed("id", "cid")
+            return
+        old = self.labels
+        to = merged.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        moved = old.join(to, "component", "left").select("cid", F.coalesce("top", "component").alias("component"))
+        fresh = merged.join(old.select(F.col("cid").alias("id")), "id", "left_anti").select(F.col("id").alias("cid"), "component")
+        self.labels = self.ws.write(moved.unionAll(fresh), f"labels-{r}")
 
     def links(self) -> None:
         """Finds and confirms links between classes until no node of any tree has two labels left.
 
-        Each of TREES roots sends a class to the node of its minwise token at the tree's own position.
-        Nodes with few members outside their largest component are compared exhaustively: first a
-        forest of the most similar pairs, then, if labels still differ, every pair. In larger nodes a random
-        member meets all others, and the node branches LEAP levels down: BRANCHES positions drawn for it send each member on to
-        the children of its tokens. A pair of similarity s stays together with 1 - (1 - s) ** BRANCHES a level: at
-        the threshold 0.82 after one leap, 0.68 after two, 0.46 after four. Where roots are small, all trees together miss such a pair
-        with a chance of about 1e-6; more where they branch. Labels are the
-        components of all links confirmed so far, so that a group of near copies is one label after a round or two and is not
-        branched further. From MAX_DEPTH on a node does not branch, but is dealt out until it is exhausted.
+        Each of TREES roots sends a class to the node of its minwise token under the tree's own hash function. A node's members are
+        first compared within blocks, which joins alike groups at little cost: trees block them differently. What then still has
+        several labels is compared exhaustively if it is small (members times those outside the most frequent label up to
+        NODE_LIMIT squared), else branches: the node draws BRANCHES hash functions, and each member goes on to the children of its
+        minwise tokens. A pair of similarity s shares a child of a shared node with 1 - (1 - s) ** BRANCHES, at the threshold 0.94,
+        and is never parted for good on all branches with 0.89; it shares none of the TREES roots with about 1e-6.
+        Labels are the components of all links confirmed so far. At MAX_DEPTH a node is compared whatever its size.
         """
-        ws = self.ws
-        roots = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * t + 1, 4)) for t in range(TREES)])
-        keys = self.sigs.select("cid", F.posexplode(roots).alias("tree", "node"))
-        many = ws.write(keys.groupBy("node").count().where("count > 1").select("node"), "many")
-        nodes = keys.join(many, "node").select("node", "cid", "tree", F.lit(0).alias("depth"), F.lit(0).alias("age"))
-        r = 0
+        ws, r = self.ws, 0
+        waiting: DataFrame | None = None
         while True:
-            level = self.described(nodes, str(r))
-            if level.isEmpty():
+            nodes = [] if waiting is None else [waiting]
+            if r < len(ROUNDS_OF_TREES):
+                some = self.nodes.where(F.col("tree").isin(*ROUNDS_OF_TREES[r]))
+                nodes.append(some.select("node", "cid", "tree", F.lit(0).alias("depth"), F.lit(0).alias("age")))
+            if not nodes:
                 return
-            narrow = F.col("m") <= NODE_LIMIT
-            first, last, big = level.where(narrow & (F.col("age") == 0)), level.where(narrow & (F.col("age") > 0)), level.where(~narrow)
-            met = [self.closed(first, f"{r}-first", False)]
-            if not last.isEmpty():
-                met.append(self.closed(last, f"{r}-last", True))
-            nodes = first.select("node", "cid", "tree", "depth", F.lit(1).alias("age"))
-            if not big.isEmpty():
-                met.append(self.star(big, str(r)))
-                nodes = nodes.unionAll(self.children(big.where(F.col("depth") < MAX_DEPTH), str(r)))
-                deep = big.where(F.col("depth") >= MAX_DEPTH)
-                if not deep.isEmpty():
-                    met.append(self.rest(deep, str(r)))
-            if self.verify(union(met)):
-                self.labels = components(ws, union(self.found), f"round-{r}").withColumnRenamed("id", "cid")
+            level = self.described(union(nodes), r)
+            first, later = level.where("age = 0"), level.where("age = 1")
+            few = (F.col("m") * F.col("n") <= NODE_LIMIT**2) | (F.col("depth") >= MAX_DEPTH)
+            found = self.meet(self.within(first).unionAll(self.across(later.where(few))), r)
+            large = first.where(F.col("n") > BLOCK).select("node", "cid", "tree", "depth", F.lit(1).alias("age"))
+            big = later.where(~few)
+            waiting = large if big.isEmpty() else large.unionAll(self.children(big, r))
+            if not found.isEmpty():
+                self.relabel(found, r)
+            if r > 0:
+                ws.drop(f"level-{r - 1}", f"open-{r - 1}", f"units-{r - 1}", f"big-{r - 1}", f"kids-{r - 1}")
+            ws.release()
             r += 1
-
-    def rest(self, deep: DataFrame, label: str) -> DataFrame:
-        """All pairs to confirm in nodes that no branching made small: minor members in blocks of NODE_LIMIT, each against every chunk of its node."""
-        size = deep.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("blocks", F.ceil(F.col("m") / NODE_LIMIT).cast("int")).withColumn("minor", F.col("label") != F.col("most"))
-        own = size.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("minor", F.lit(False))
-        guest = size.where("minor").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = own.unionByName(guest).select(F.xxhash64("node", "block", "chunk").alias("gid"), "cid", "label", "minor")
-        return self.compare(rows.groupBy("gid", "cid", "label").agg(F.max("minor").alias("minor")), f"{label}-rest", True)
+            if r >= len(ROUNDS_OF_TREES) and waiting.isEmpty():
+                return
 
     def run(self) -> DataFrame:
         ws = self.ws
         sketch = self.sketch()
-        classes = sketch.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low"))
-        self.classes = ws.write(classes, "classes")
-        self.sigs = ws.write(sketch.select(F.col("rid").alias("cid"), "n_shingles", "sig").join(self.classes.select("cid"), "cid"), "sigs")
-        self.repeats = not sketch.groupBy("doc_id").count().where("count > 1").isEmpty()
+        lead = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "rid")
+        own = sketch.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low"), F.min(lead).alias("lead"), F.first("roots").alias("roots"))
+        self.classes = ws.write(own, "classes")
+        self.nodes = self.roots()
+        self.sets = self.fetch()
         self.links()
         comp = self.labels if self.labels is not None else self.spark.createDataFrame([], "cid long, component long")
-        comp = self.classes.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        comp = self.classes.select("cid", "f1", "f2", "low", "lead").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         comp = ws.write(comp, "class-components")
-        low = ws.write(comp.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-        comp = ws.write(comp.join(low, "component").select("f1", "f2", "component_id"), "class-ids")
-        out = sketch.select("doc_id", "n_shingles", "f1", "f2").join(comp, ["f1", "f2"], "left")
-        out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        ws.drop("sets", "roots")
+        low = ws.write(comp.groupBy("component").agg(F.min("low").alias("component_id"), F.min("lead").alias("lead")).select("component", "component_id", F.col("lead.rid").alias("lead")), "lowest")
+        comp = ws.write(comp.select("component", "f1", "f2").join(bounded(low), "component").select("f1", "f2", "component_id", "lead"), "class-ids")
+        ws.drop("class-components", "lowest", "classes")
+        out = sketch.select("doc_id", "n_shingles", "f1", "f2", "text_hash", "rid").join(bounded(comp, BROADCAST_ROWS // 4), ["f1", "f2"], "left")
+        out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", (F.coalesce("lead", "rid") == F.col("rid")).alias("representative"))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -341,7 +309,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
 
     Returns a row a document: doc_id, n_shingles long, component_id long (smallest doc_id
-    reachable by links, itself included), kept boolean (doc_id = component_id). Words are runs of anything but ASCII white
+    reachable by links, itself included), text_hash long (xxhash64 of the text), representative boolean (true for one row of
+    every component, that of the least id and hash, nulls last), kept boolean (doc_id = component_id). Words are runs of anything but ASCII white
     space, A-Z lower-cased; a text of fewer than five words is one shingle; texts without words
     are linked with nothing. Documents of equal sets form a class, so exact copies make no pairs
     at all; links between classes are confirmed on the full sets of whole texts. Rows that
@@ -350,3 +319,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows; extra columns are ignored.
     """
     return Join(docs, ws or Workspace(docs.sparkSession, "minhash"), id_col, text_col).run()
+
+
+def one_of_each(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """One document of every component, that of the smallest id, unchanged; texts without words stay.
+
+    Rows that repeat an id are told apart by their texts; of rows equal in both one stays. Rows without an id go
+    if a named document, or another of them, is a near duplicate.
+    """
+    ws = ws or Workspace(docs.sparkSession, "one-of-each")
+    chosen = near_duplicates(docs, ws=ws).where("representative").groupBy(F.col("doc_id").alias("d_"), F.col("text_hash").alias("t_")).count()
+    chosen = ws.write(chosen, "chosen")
+    near = bounded(chosen.select("d_", "t_"))
+    text = F.xxhash64(F.col("text").cast("string"))
+    out = docs.join(near, docs["doc_id"].eqNullSafe(near["d_"]) & (text == near["t_"]), "left_semi").select(*docs.columns)
+    if docs.groupBy("doc_id", text.alias("t_")).count().where("count > 1").isEmpty():
+        return out
+    return out.withColumn("t_", F.xxhash64("text")).dropDuplicates(["doc_id", "t_"]).select(*docs.columns)
