@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import Workspace, bounded
-from gristmill.llm.minhash import near_duplicates
+from gristmill.llm.minhash import one_of_each
 from gristmill.llm.mixing import mix_sources
 from gristmill.llm.packing import pack
 from gristmill.llm.passages import cut_passages
@@ -21,17 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group of near duplicates, unchanged.
-
-    Of rows that repeat an id one stays. Rows without an id, which no group can name, stay unless they repeat a text.
-    """
-    ws = Workspace(spark, "stage-dedup")
-    kept = ws.write(near_duplicates(docs).where("kept").select("doc_id").groupBy("doc_id").count(), "kept")
-    named = docs.join(bounded(kept.select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    return named if nameless.isEmpty() else named.unionByName(nameless.dropDuplicates(["text"]))
+    """One document, that of the smallest id, of every group of near duplicates, unchanged."""
+    return one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
