@@ -19,10 +19,10 @@ PERCENT = 75
 ROUNDS_OF_TREES = ((0, 1), (2, 3, 4, 5), (6, 7, 8, 9))
 TREES = 10
 BRANCHES = 2
-#: Members that one task compares at a time.
-BLOCK = 128
+#: Members that are compared at a time: those of one block, or of two larger ones.
+BLOCK, WIDE_BLOCK = 128, 256
 #: A node is compared exhaustively if its members times those outside its most frequent label are no more than this squared.
-NODE_LIMIT = 2048
+NODE_LIMIT = 1024
 MAX_DEPTH = 12
 
 
@@ -200,7 +200,7 @@ class Join:
     @staticmethod
     def across(level: DataFrame) -> DataFrame:
         """All pairs of labels of each node: every block of members outside the most frequent label meets every block of the node."""
-        p, q = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("n") - F.col("m")) / BLOCK)
+        p, q = F.ceil(F.col("m") / WIDE_BLOCK), F.ceil((F.col("n") - F.col("m")) / WIDE_BLOCK)
         h = F.xxhash64("cid", "node")
         minor = F.col("label") != F.col("most")
         own = F.when(minor, F.pmod(h, p)).otherwise(p + F.pmod(h, q)).cast("int")
