@@ -167,9 +167,11 @@ class Join:
         return self.ws.write(sets, "sets")
 
     def with_sets(self, rows: DataFrame) -> DataFrame:
-        """Staged rows with the sets of their classes; sets that no row needs stay where they are."""
-        ids = bounded(rows.select("cid").distinct(), BROADCAST_ROWS // 4)
-        return rows.join(self.sets.join(ids, "cid", "left_semi"), "cid")
+        """Staged rows with the sets of their classes: few rows go to the sets; else the sets that rows need are shuffled."""
+        near = bounded(rows, BROADCAST_ROWS // 2)
+        if near is rows:
+            return rows.join(self.sets.join(bounded(rows.select("cid").distinct(), BROADCAST_ROWS // 4), "cid", "left_semi"), "cid")
+        return self.sets.join(near, "cid")
 
     def described(self, nodes: DataFrame, r: int) -> DataFrame:
         """Nodes with their labels as known now, and of each: size n and members m outside its most frequent label.
