@@ -10,23 +10,24 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import BROADCAST_ROWS, Workspace, bounded, rolling, small_batches, words
+from .common import BROADCAST_ROWS, WORD_SQL, Workspace, bounded, rolling, small_batches, words
 from .minhash import runs, union
 
-SEED = 5
-WINDOW = 8
+#: Words of a shingle, by which passages are alike or not.
+SHINGLE = 5
+#: Words of a seed, and how many successive runs of so many words choose one: any SEED + WINDOW - 1 = 24 words that two texts share have a seed in common.
+#: A passage of n words at the similarity has at most (n - 4) / 35 edits, so that some 24 successive words of it are free of them.
+SEED = 12
+WINDOW = 13
 GAP = 0.1
 MIN_WORDS = 51
 SIMILARITY = 0.75
-REACH = 40
 SHIFT = 8
 AGREE = 4
-#: A passage has STRETCH successive windows of which the other text chooses SHARED alike.
-STRETCH, SHARED = MIN_WORDS - SEED - WINDOW + 2, 15
-#: Bounds of the earlier occurrences of a seed, nearest first, that one round meets.
-STEPS = (0, 1, 8, 64, 1 << 62)
+#: The columns that name a text, and what tells a match from its own first occurrence.
+TEXT = ["doc", "k"]
+OTHER = "doc <> adoc or k <> ak"
 CHAR_WORD = re.compile(r"[^ \t-\r]+")
 
 
@@ -36,21 +37,25 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter((known[w] for w in ws), np.uint64, len(ws))
 
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, windows) of the winnowed SEED-word runs: the least of every WINDOW successive ones.
+def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the winnowed SEED-word runs: the least of every WINDOW successive ones.
 
-    Any SEED + WINDOW - 1 words that two texts share have a seed in common. The windows that chose a seed follow each
-    other; they are held as WINDOW * (how far the first starts before the seed) + their number - 1.
+    Of equal ones a window takes the choice of the window before it, else the last, so that words that repeat themselves give few seeds.
     """
-    if len(h) < SEED:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    g = rolling(h, SEED)
-    if len(g) <= WINDOW:
-        at = np.array([int(np.argmin(g))])
-        return at, g[at], WINDOW * at
-    low = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-    at, start, n = np.unique(low.argmin(1) + np.arange(len(low)), return_index=True, return_counts=True)
-    return at, g[at], WINDOW * (at - start) + n - 1
+    g = rolling(h if len(h) >= MIN_WORDS else h[:0], SEED)
+    if not len(g):
+        return np.zeros(0, np.int64), g
+    view = np.lib.stride_tricks.sliding_window_view(g, min(WINDOW, len(g)))
+    width = view.shape[1]
+    last = width - 1 - view[:, ::-1].argmin(1) + np.arange(len(view))
+    at = np.unique(last)
+    if (g[at[1:]] == g[at[:-1]]).any():
+        kept = [int(last[0])]
+        for i, j in enumerate(last.tolist()):
+            if kept[-1] < i or g[kept[-1]] != g[j]:
+                kept.append(j)
+        at = np.array(kept)
+    return at, g[at]
 
 
 def chain(xs: list[int], ys: list[int]) -> list[list[int]]:
@@ -108,19 +113,16 @@ def extend(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         if run:
             out.append((i, j, run))
             i, j = i + run, j + run
-        jump = None
-        for total in range(1, 2 * SHIFT + 1):
-            for di in range(max(0, total - SHIFT), min(total, SHIFT) + 1):
-                x, y = a[i + di : i + di + AGREE], b[j + total - di : j + total - di + AGREE]
-                if len(x) == AGREE == len(y) and (x == y).all():
-                    jump = (di, total - di)
-                    if 2 * di == total:
-                        break
-            if jump:
-                break
-        if not jump:
+        x, y = a[i : i + SHIFT + AGREE], b[j : j + SHIFT + AGREE]
+        m, n = len(x) - AGREE + 1, len(y) - AGREE + 1
+        if m < 1 or n < 1:
+            break
+        same = x[:, None] == y[None, :]
+        di, dj = np.nonzero(np.logical_and.reduce([same[k : k + m, k : k + n] for k in range(AGREE)]))
+        if not len(di):
             break
-        i, j = i + jump[0], j + jump[1]
+        k = np.lexsort((-di, di != dj, di + dj))[0]  # the least difference, on the diagonal if that is one
+        i, j = i + int(di[k]), j + int(dj[k])
     return out
 
 
@@ -138,7 +140,7 @@ def align(a: np.ndarray, b: np.ndarray, points: list[tuple[int, int]]) -> list[t
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.unique(rolling(a, SEED)), np.unique(rolling(b, SEED))
+    x, y = np.unique(rolling(a, SHINGLE)), np.unique(rolling(b, SHINGLE))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) and len(y) else 0.0
 
@@ -171,11 +173,11 @@ def passages(a: np.ndarray, b: np.ndarray, path: list[tuple[int, int, int]]) ->
         if not p or p[-1][0] + p[-1][2] - p[0][0] < MIN_WORDS or p[-1][1] + p[-1][2] - p[0][1] < MIN_WORDS:
             continue
         x, y, n = (np.array(c) for c in zip(*p, strict=True))
-        value = (1 + level) * np.maximum(n - SEED + 1, 0) - level * 2 * n
+        value = (1 + level) * np.maximum(n - SHINGLE + 1, 0) - level * 2 * n
         gap = level * ((x[1:] - x[:-1] - n[:-1]) + (y[1:] - y[:-1] - n[:-1]))
         steps = np.zeros(2 * len(p) - 1)
         steps[::2], steps[1::2] = value, -gap
-        steps[0] += 2 * level * (SEED - 1)  # a stretch of w words has w - SEED + 1 shingles
+        steps[0] += 2 * level * (SHINGLE - 1)  # a stretch of w words has w - SHINGLE + 1 shingles
         got = longest(steps)
         if got is None:
             k = int(np.argmax(n))
@@ -196,175 +198,245 @@ def passages(a: np.ndarray, b: np.ndarray, path: list[tuple[int, int, int]]) ->
     return out
 
 
-def candidates(x: np.ndarray, adoc: np.ndarray, y: np.ndarray) -> list[tuple[int, list[int], list[int]]]:
-    """Chains (other document, xs, ys) of one document's matches, sorted by x.
+def stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """The starts [i, j) of all MIN_WORDS words that may be repeated as a whole, from a text's ascending repeated seeds.
 
-    Repeated seeds no more than REACH words apart form a region; one too short to hold MIN_WORDS words even with
-    what lies between seeds is left out.
+    Such words choose a seed within their first WINDOW runs, then each no more than WINDOW on, and one within their last.
     """
     out = []
-    parts = np.split(np.arange(len(x)), np.flatnonzero(np.diff(x) > REACH) + 1)
-    for at in parts:
-        if x[at[-1]] - x[at[0]] + SEED + 2 * (SEED + WINDOW) < MIN_WORDS:
-            continue
-        others = adoc[at]
-        for other in np.unique(others):
-            k = at[others == other]
-            xs, ys = x[k].tolist(), y[k].tolist()
-            for c in chain(xs, ys):
-                if len(c) > 1:
-                    out.append((int(other), [xs[i] for i in c], [ys[i] for i in c]))
-    return out
-
-
-def rare(x: np.ndarray, windows: np.ndarray, freq: np.ndarray) -> np.ndarray:
-    """The positions, of one document's repeated seeds, that find every other document with a passage of it.
-
-    An edit takes SEED shingles from either side, so a passage similar enough shares SHARED of some STRETCH successive
-    windows, and so one seed of any choice of the rest and one more. Those that occur nowhere else are chosen
-    first, then the rarest: a short phrase that many documents have brings no partners.
-    """
-    start, n = x - windows // WINDOW, windows % WINDOW + 1
-    stop, out = start + n, np.zeros(len(x), bool)
-    order = np.argsort(freq, kind="stable")
-    place = np.empty(len(x), np.int64)
-    place[order] = np.arange(len(x))
-    for s in np.unique(np.concatenate([np.maximum(start, 0), np.maximum(stop - STRETCH, 0)])):
-        i, j = np.searchsorted(stop, s, "right"), np.searchsorted(start, s + STRETCH)
+    for part in np.split(x, np.flatnonzero(np.diff(x) > WINDOW) + 1):
+        i, j = int(part[0]) - WINDOW + 1, int(part[-1]) + SEED + WINDOW - MIN_WORDS
         if i < j:
-            inside = np.minimum(stop[i:j], s + STRETCH) - np.maximum(start[i:j], s)
-            left = STRETCH - SHARED + 1 - (STRETCH - inside.sum())
-            if left > 0:
-                by = np.argsort(place[i:j])
-                k = int(np.searchsorted(np.cumsum(inside[by]), left)) + 1
-                out[i + by[:k]] = True
-    return x[out]
+            out.append((max(i, 0), j))
+    return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
-    """Passages of more than 50 words that a document shares, exactly or nearly, with an earlier one (of smaller id).
-
-    Returns doc_id, start, end (word offsets, end exclusive), other_doc_id, other_start, other_end, n_words and
-    similarity, a row a passage and pair. Two passages are near if their sets of 5-word
-    shingles have a Jaccard similarity of 0.75 or more. Words are as in the near-duplicate operator. Every
-    seed points to its first occurrence, so a passage that thousands of documents share gives as many rows, not
-    their square; every such document is paired with the first that has the passage or with one that does. Repeated
-    words that gave no passage so meet their other earlier occurrences, nearest first, until none is left. Null ids
-    and texts take no part; repeated rows are one document, and of different texts under one id the
-    one of least hash counts. Empty tables give no rows; extra columns are ignored.
-
-    Steps: winnowed seeds of all texts; the first place of each seed that occurs twice; matches
-    grouped by document, whose size bounds them, and chained; texts fetched for chained pairs only and aligned; then rounds
-    over the rare seeds outside the passages found so far, by STEPS.
-    """
-    spark = docs.sparkSession
-    ws = ws or Workspace(spark, "passages")
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    if not docs.groupBy("doc").count().where("count > 1").isEmpty():
-        docs = docs.groupBy("doc").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-
-    def sow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [seeds(word_hashes(t)) for t in f.text]
-            if got:
-                yield pd.DataFrame({"h": np.concatenate([g[1] for g in got]).view(np.int64), "doc": np.repeat(f.doc.to_numpy(), [len(g[0]) for g in got]), "x": np.concatenate([g[0] for g in got]).astype(np.int32), "win": np.concatenate([g[2] for g in got]).astype(np.int8)})
-
-    all_seeds = ws.write(docs.mapInPandas(sow, "h long, doc long, x int, win byte"), "seeds")
-    first = all_seeds.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("m"), F.max("doc").alias("last"), F.count(F.lit(1)).cast("int").alias("freq"))
-    first = ws.write(first.where("last <> m.doc").select("h", F.col("m.doc").alias("adoc"), F.col("m.x").alias("y"), "freq"), "first")
-    ws.release()
-    matches = all_seeds.join(first, "h").where("doc <> adoc").select("doc", "x", "adoc", "y", "win", "freq")
-
-    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, cols = [], ["doc", "adoc", "xs", "ys"]
-        for g in runs(frames, "doc"):
-            doc, x = int(g.doc.iloc[0]), g.x.to_numpy()
-            out += [(doc, *c) for c in candidates(x, g.adoc.to_numpy(), g.y.to_numpy())]
-            ask = rare(x, g.win.to_numpy().astype(np.int64), g.freq.to_numpy()).tolist()
-            if ask:
-                out.append((doc, None, ask, []))
-            if len(out) > 5_000:
-                yield pd.DataFrame(out, columns=cols).astype({"adoc": "Int64"})
-                out = []
-        yield pd.DataFrame(out, columns=cols).astype({"adoc": "Int64"})
-
-    rows = matches.repartition("doc").sortWithinPartitions("doc", "x")
-    chains = ws.write(rows.mapInPandas(link, "doc long, adoc long, xs array<int>, ys array<int>"), "chains")
-    ws.drop("first")
-    ws.release()
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["doc_id", "start", "end", "other_doc_id", "other_start", "other_end", "n_words", "similarity"]
-        for f in frames:
-            out = []
-            for doc, adoc, cs, t1, t2 in zip(f.doc, f.adoc, f.chains, f.t1, f.t2, strict=True):
-                a, b, found = word_hashes(t1), word_hashes(t2), []
-                for c in cs:
-                    xs, ys = list(c["xs"]), list(c["ys"])
-                    for part in chain(xs, ys) if c["loose"] else [range(len(xs))]:
-                        points = [(xs[i], ys[i]) for i in part]
-                        if not all(any(s <= x < e and t <= y < u for s, e, t, u, _ in found) for x, y in points):
-                            found += [p for p in passages(a, b, align(a, b, points)) if p not in found]
-                out += [(doc, s, e, adoc, t, u, e - s, like) for s, e, t, u, like in found]
-            yield pd.DataFrame(out, columns=cols)
-
-    def confirm(pairs: DataFrame, label: str) -> DataFrame:
-        """Passages of pairs (doc, adoc, chains) on whole texts; a loose entry holds matches that are not chained yet."""
+def seed_pairs(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, positions, later positions) of all pairs of one text's seeds that MIN_WORDS words can hold."""
+    out = [(np.zeros(0, np.uint64), x[:0], x[:0])]
+    for step in range(1, len(x)):
+        i = np.flatnonzero(x[step:] - x[:-step] <= MIN_WORDS - SEED)
+        if not len(i):
+            break
+        out.append((rolling_pair(h[i], h[i + step]), x[i], x[i + step]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def rolling_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return rolling(np.stack([a, b], 1).ravel(), 2)[::2]
+
+
+class Search:
+    """One search for repeated passages. A text is named by doc (its id) and k: 0, or its hash where an id has several texts."""
+
+    def __init__(self, docs: DataFrame, ws: Workspace, id_col: str, text_col: str):
+        self.ws, self.spark = ws, docs.sparkSession
+        small_batches(self.spark)
+        text = F.col(text_col).cast("string")
+        rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark")).where("doc is not null and text is not null")
+        marks = ws.write(rows.groupBy("doc", "mark").count(), "marks")
+        several = ws.write(marks.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc", F.lit(True).alias("several")), "several")
+        copies = marks.groupBy("mark").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("mark", "lead")
+        self.copies = ws.write(copies, "copies")
+        keyed = lambda t: t.join(bounded(several), "doc", "left").withColumn("k", F.when(F.col("several"), F.col("mark")).otherwise(0)).drop("several")
+        self.marks = ws.write(keyed(marks).select("doc", "k", "mark"), "marks-k")
+        led = keyed(rows).join(bounded(self.copies), "mark", "left")
+        self.later = led.where("lead <> doc").select("doc", "mark", "lead", F.regexp_count("text", F.lit(WORD_SQL)).alias("n"))
+        self.texts = led.where("lead is null or lead = doc").select("doc", "k", "text")
+        if not marks.where("count > 1").isEmpty():
+            self.later, self.texts = self.later.distinct(), self.texts.dropDuplicates(TEXT)
+
+    def among(self, need: DataFrame, label: str) -> DataFrame:
+        """The texts that a list of them names."""
+        return self.texts.join(bounded(self.ws.write(need.select(*TEXT).distinct(), label)), TEXT, "left_semi")
+
+    def first(self, rows: DataFrame, key: str, *places: str) -> DataFrame:
+        """The first place of every key that several texts have: key, adoc, ak and the places as a0, a1; combined before the shuffle."""
+        got = rows.groupBy(key).agg(F.min(F.struct(*TEXT, *places)).alias("m"), F.max(F.struct(*TEXT)).alias("last"))
+        got = got.where((F.col("m.doc") != F.col("last.doc")) | (F.col("m.k") != F.col("last.k")))
+        return got.select(key, F.col("m.doc").alias("adoc"), F.col("m.k").alias("ak"), *[F.col(f"m.{p}").alias(f"a{i}") for i, p in enumerate(places)])
+
+    def sow(self) -> DataFrame:
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                got = [seeds(word_hashes(t)) for t in f.text]
+                if got:
+                    n = [len(g[0]) for g in got]
+                    yield pd.DataFrame({"h": np.concatenate([g[1] for g in got]).view(np.int64), "doc": np.repeat(f.doc.to_numpy(), n), "k": np.repeat(f.k.to_numpy(), n), "x": np.concatenate([g[0] for g in got]).astype(np.int32)})
+
+        return self.ws.write(self.texts.mapInPandas(make, "h long, doc long, k long, x int"), "seeds")
+
+    def link(self, all_seeds: DataFrame) -> DataFrame:
+        """Chains of each text and the texts that its seeds occur in first (xs, ys), and a row (xs, hs) of its seeds that others have earlier."""
+        matches = all_seeds.join(self.first(all_seeds, "h", "x"), "h").where(OTHER)
+
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cols = ["doc", "k", "adoc", "ak", "xs", "ys", "hs"]
+            out: list[tuple] = []
+            for g in runs(frames, "gid"):
+                text, x, y, h = (int(g.doc.iloc[0]), int(g.k.iloc[0])), g.x.to_numpy(), g.a0.to_numpy(), g.h.to_numpy()
+                other, at = np.unique(np.stack([g.adoc.to_numpy(), g.ak.to_numpy()], 1), axis=0, return_inverse=True)
+                for i, (adoc, ak) in enumerate(other.tolist()):
+                    j = np.flatnonzero(at == i)
+                    xs, ys = x[j].tolist(), y[j].tolist()
+                    out += [(*text, adoc, ak, [xs[m] for m in c], [ys[m] for m in c], []) for c in chain(xs, ys)]
+                if len(x) > 1:  # one alone makes no longer key
+                    out.append((*text, None, None, x.tolist(), [], h.tolist()))
+                if len(out) > 5_000:
+                    yield pd.DataFrame(out, columns=cols).astype({"adoc": "Int64", "ak": "Int64"})
+                    out = []
+            yield pd.DataFrame(out, columns=cols).astype({"adoc": "Int64", "ak": "Int64"})
+
+        rows = matches.select(F.xxhash64(*TEXT).alias("gid"), *TEXT, "x", "h", "adoc", "ak", "a0").repartition("gid").sortWithinPartitions("gid", "x")
+        return self.ws.write(rows.mapInPandas(make, "doc long, k long, adoc long, ak long, xs array<int>, ys array<int>, hs array<long>"), "chains")
+
+    def confirm(self, pairs: DataFrame, label: str) -> DataFrame:
+        """Passages of pairs (doc, k, adoc, ak, chains), aligned on whole texts; a loose entry holds matches that are not chained yet."""
+        ws = self.ws
         pairs = ws.write(pairs, f"pairs-{label}")
-        need = pairs.select(F.explode(F.array("doc", "adoc")).alias("doc")).distinct()
-        texts = ws.write(docs.join(bounded(ws.write(need, f"need-{label}")), "doc"), f"texts-{label}")
+        need = pairs.select(F.explode(F.array(F.struct(*TEXT), F.struct(F.col("adoc").alias("doc"), F.col("ak").alias("k")))).alias("t")).select("t.doc", "t.k")
+        texts = ws.write(self.among(need, f"need-{label}"), f"texts-{label}")
         ws.release()
-        both = pairs.join(texts.withColumnRenamed("text", "t1"), "doc").join(texts.select(F.col("doc").alias("adoc"), F.col("text").alias("t2")), "adoc")
-        got = both.select("doc", "adoc", "chains", "t1", "t2").mapInPandas(check, "doc_id long, start int, end int, other_doc_id long, other_start int, other_end int, n_words int, similarity double")
+
+        def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for doc, k, adoc, ak, cs, t1, t2 in zip(f.doc, f.k, f.adoc, f.ak, f.chains, f.t1, f.t2, strict=True):
+                    a, b, found = word_hashes(t1), word_hashes(t2), []
+                    for c in cs:
+                        xs, ys = list(c["xs"]), list(c["ys"])
+                        for part in chain(xs, ys) if c["loose"] else [range(len(xs))]:
+                            points = [(xs[i], ys[i]) for i in part]
+                            if not all(any(s <= x < e and t <= y < u for s, e, t, u, _ in found) for x, y in points):
+                                found += [p for p in passages(a, b, align(a, b, points)) if p not in found]
+                    out += [(doc, k, s, e, e == len(a), adoc, ak, t, u, like) for s, e, t, u, like in found]
+                yield pd.DataFrame(out, columns=["doc", "k", "start", "end", "ends_text", "adoc", "ak", "other_start", "other_end", "similarity"])
+
+        both = pairs.join(texts.withColumnRenamed("text", "t1"), TEXT).join(texts.select(F.col("doc").alias("adoc"), F.col("k").alias("ak"), F.col("text").alias("t2")), ["adoc", "ak"])
+        got = both.select(*TEXT, "adoc", "ak", "chains", "t1", "t2").mapInPandas(check, "doc long, k long, start int, end int, ends_text boolean, adoc long, ak long, other_start int, other_end int, similarity double")
         got = ws.write(got, f"passages-{label}")
         ws.drop(f"pairs-{label}", f"need-{label}", f"texts-{label}")
         ws.release()
         return got
 
-    def outside(asked: DataFrame, found: DataFrame) -> DataFrame:
-        """The seeds asked for that lie in no passage found."""
-        spans = ws.write(found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), f"covered-{len(out)}")
-        inside = F.exists("spans", lambda p: (p["start"] <= F.col("x")) & (F.col("x") + SEED <= p["end"]))
-        return asked.join(bounded(spans, BROADCAST_ROWS // 10), "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
-
-    chained = chains.where("adoc is not null").groupBy("doc", "adoc")
-    out = [confirm(chained.agg(F.array_sort(F.collect_list(F.struct("xs", "ys", F.lit(False).alias("loose")))).alias("chains")), "first")]
-    asked = ws.write(outside(chains.where("adoc is null").select("doc", F.explode("xs").alias("x")), out[0]), "asked-0")
-    if not asked.isEmpty():
-        asked = ws.write(all_seeds.join(bounded(asked), ["doc", "x"]).select("h", "doc", "x"), "asked-h")
-        some = bounded(ws.write(asked.select("h").distinct(), "asked-distinct"))
-        w = W.partitionBy("h").orderBy("doc")
-        # n: rows of the seed in earlier documents; at: the place of the row among all
-        ranked = all_seeds.join(some, "h", "left_semi").select("h", "doc", "x", (F.rank().over(w) - 1).alias("n"), (F.row_number().over(W.partitionBy("h").orderBy("doc", "x")) - 1).alias("at"))
-        ranked = ws.write(ranked, "ranked")
-        ws.drop("seeds")
-        asked = ws.write(asked.select("h", "doc", "x").join(ranked.select("h", "doc", "x", "n"), ["h", "doc", "x"]).where("n > 0"), "asked-ranked")
-        other = ranked.select("h", "at", F.col("doc").alias("adoc"), F.col("x").alias("y"))
-        for k, (lo, hi) in enumerate(zip(STEPS, STEPS[1:], strict=False)):
-            now = asked.where(F.col("n") > lo)
-            if now.isEmpty():
-                break
-            at = F.sequence(F.greatest(F.col("n").cast("long") - hi, F.lit(0)), F.col("n").cast("long") - 1 - lo)
-            met = now.select("h", "doc", "x", F.explode(at).alias("at")).join(other, ["h", "at"])
-            pairs = met.groupBy("doc", "adoc").agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("m"))
-            entry = F.struct(F.transform("m", lambda p: p["x"]).alias("xs"), F.transform("m", lambda p: p["y"]).alias("ys"), F.lit(True).alias("loose"))
-            out.append(confirm(pairs.select("doc", "adoc", F.array(entry).alias("chains")), f"step-{k}"))
-            asked = ws.write(outside(asked, out[-1]), f"left-{k}")
-    ws.drop("seeds", "ranked")
-    return ws.write(union(out).distinct(), "passages")
+    def outside(self, asked: DataFrame, found: DataFrame, margin: int, label: str) -> DataFrame:
+        """What of each text's repeated seeds (xs, hs) does not lie ``margin`` words inside a passage found, and the seeds beside.
+
+        A passage that begins or ends with the text needs no margin there. Texts of whose seeds none is left are absent.
+        """
+        spans = found.groupBy(*TEXT).agg(F.array_sort(F.collect_set(F.struct("start", "end", "ends_text"))).alias("spans"))
+        rows = asked.join(bounded(self.ws.write(spans, f"covered-{label}"), BROADCAST_ROWS // 10), TEXT, "left")
+
+        def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for doc, k, xs, hs, spans in zip(f["doc"], f["k"], f["xs"], f["hs"], f["spans"], strict=True):
+                    x, h = np.asarray(xs, np.int64), np.asarray(hs, np.int64)
+                    left = np.ones(len(x), bool)
+                    for s in [] if spans is None else spans:
+                        left &= (x < s["start"] + (margin if s["start"] else 0)) | (x + SEED > s["end"] - (0 if s["ends_text"] else margin))
+                    at = x[left]
+                    if len(at):
+                        i = np.searchsorted(at, x)
+                        beside = np.minimum(np.abs(x - at[np.minimum(i, len(at) - 1)]), np.abs(x - at[np.maximum(i - 1, 0)])) <= MIN_WORDS
+                        out.append((doc, k, x[beside].tolist(), h[beside].tolist()))
+                yield pd.DataFrame(out, columns=["doc", "k", "xs", "hs"])
+
+        return self.ws.write(rows.select(*TEXT, "xs", "hs", "spans").mapInPandas(rest, "doc long, k long, xs array<int>, hs array<long>"), f"asked-{label}")
+
+    def again(self, keys: DataFrame, asked: DataFrame, places: list[str]) -> DataFrame:
+        """Pairs to confirm of texts asked for, by the first place of longer keys (key, doc, k, places)."""
+        mine = keys.join(bounded(asked.select(*TEXT)), TEXT, "left_semi")
+        met = mine.join(self.first(keys, "key", *places), "key").where(OTHER)
+        point = F.explode(F.array(*[F.struct(F.col(p).alias("x"), F.col(f"a{i}").alias("y")) for i, p in enumerate(places)]))
+        met = met.select(*TEXT, "adoc", "ak", point.alias("p")).groupBy(*TEXT, "adoc", "ak").agg(F.array_sort(F.collect_set("p")).alias("m"))
+        entry = F.struct(F.transform("m", lambda p: p["x"]).alias("xs"), F.transform("m", lambda p: p["y"]).alias("ys"), F.lit(True).alias("loose"))
+        return met.select(*TEXT, "adoc", "ak", F.array(entry).alias("chains"))
+
+    def by_pairs(self, occurrences: DataFrame) -> DataFrame:
+        """Keys of all pairs of near seeds of a text."""
+
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in runs(frames, "gid"):
+                key, x, z = seed_pairs(g.x.to_numpy(), g.h.to_numpy().view(np.uint64))
+                if len(key):
+                    yield pd.DataFrame({"key": key.view(np.int64), "doc": np.repeat(g.doc.to_numpy()[:1], len(key)), "k": np.repeat(g.k.to_numpy()[:1], len(key)), "x": x.astype(np.int32), "z": z.astype(np.int32)})
+
+        return self.ws.write(occurrences.mapInPandas(make, "key long, doc long, k long, x int, z int"), "keys-pairs")
+
+    def by_words(self, occurrences: DataFrame) -> DataFrame:
+        """Keys of all MIN_WORDS successive words that may be repeated as a whole."""
+
+        def where(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in runs(frames, "gid"):
+                got = stretches(g.x.to_numpy())
+                if got:
+                    yield pd.DataFrame({"doc": [int(g.doc.iloc[0])], "k": [int(g.k.iloc[0])], "begin": [[i for i, _ in got]], "stop": [[j for _, j in got]]})
+
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for doc, k, begin, stop, text in zip(f.doc, f.k, f.begin, f.stop, f.text, strict=True):
+                    g = rolling(word_hashes(text), MIN_WORDS)
+                    x = np.unique(np.concatenate([np.arange(i, min(j, len(g))) for i, j in zip(begin, stop, strict=True)])).astype(np.int32)
+                    yield pd.DataFrame({"key": g[x].view(np.int64), "doc": doc, "k": k, "x": x})
+
+        at = self.ws.write(occurrences.mapInPandas(where, "doc long, k long, begin array<int>, stop array<int>"), "stretches")
+        rows = self.texts.join(bounded(at, BROADCAST_ROWS // 10), TEXT).select(*TEXT, "begin", "stop", "text")
+        return self.ws.write(rows.mapInPandas(make, "key long, doc long, k long, x int"), "keys-words")
+
+    def run(self) -> DataFrame:
+        ws = self.ws
+        all_seeds = self.sow()
+        chains = self.link(all_seeds)
+        ws.release()
+        chained = chains.where("adoc is not null").groupBy(*TEXT, "adoc", "ak")
+        out = [self.confirm(chained.agg(F.array_sort(F.collect_list(F.struct("xs", "ys", F.lit(False).alias("loose")))).alias("chains")), "seeds")]
+        repeated = chains.where("adoc is null").select(*TEXT, "xs", "hs")
+        for label, keys, places, margin in (("pairs", self.by_pairs, ["x", "z"], 0), ("words", self.by_words, ["x"], MIN_WORDS - SEED)):
+            asked = self.outside(repeated, union(out), margin, label)
+            some = ws.write(asked.select(F.explode("hs").alias("h")).distinct(), f"wanted-{label}")
+            occurrences = all_seeds.join(bounded(some), "h", "left_semi").select(F.xxhash64(*TEXT).alias("gid"), *TEXT, "x", "h").repartition("gid").sortWithinPartitions("gid", "x")
+            out.append(self.confirm(self.again(keys(occurrences), asked, places), label))
+            ws.drop(f"keys-{label}", f"wanted-{label}", f"covered-{label}", f"asked-{label}")
+        ws.drop("seeds", "chains")
+        marks = self.marks
+        got = union(out).distinct().join(marks, TEXT).select(F.col("doc").alias("doc_id"), "start", "end", F.col("adoc").alias("other_doc_id"), "other_start", "other_end", (F.col("end") - F.col("start")).alias("n_words"), "similarity", F.col("mark").alias("text_hash"))
+        zero, n = F.lit(0), F.col("n").cast("int")
+        whole = self.later.where(F.col("n") >= MIN_WORDS).select(F.col("doc").alias("doc_id"), zero.alias("start"), n.alias("end"), F.col("lead").alias("other_doc_id"), zero.alias("other_start"), n.alias("other_end"), n.alias("n_words"), F.lit(1.0).alias("similarity"), F.col("mark").alias("text_hash"))
+        return ws.write(got.unionAll(whole), "passages")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
+    """Passages of more than 50 words that a document shares, exactly or nearly, with an earlier one (of smaller id).
+
+    Returns doc_id, start, end (word offsets, end exclusive), other_doc_id, other_start, other_end, n_words,
+    similarity and text_hash (xxhash64 of the document's text), a row a passage and pair. Two passages are near if their sets of 5-word
+    shingles have a Jaccard similarity of 0.75 or more. Words are as in the near-duplicate operator. A passage that thousands of
+    documents share gives as many rows, not their square: every such document is paired with the first that has
+    the passage or with one that does. Copies of a whole text are paired with its first document and searched
+    once. Null ids and texts take no part; repeated rows are one document; different texts under one id are
+    documents of their own that answer with that id, ordered by text hash. Empty tables give no rows; extra columns are ignored.
+
+    Steps: winnowed seeds of all texts; every seed points to its first occurrence; matches are grouped by text, whose size
+    bounds them, and chained; texts are fetched for chained pairs only and aligned. Repeated seeds in no passage found so, whose first
+    occurrences may lie in different texts, point once more by longer keys: pairs of seeds that 51 words can hold, then all
+    51 words that may be repeated as a whole, which finds every exact passage. Work stays in proportion to the occurrences.
+    """
+    return Search(docs, ws or Workspace(docs.sparkSession, "passages"), id_col, text_col).run()
 
 
 def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """docs without the passages that an earlier document has; the columns of documents, n_chars counted again.
 
     The first document of a passage keeps it. Documents of which nothing but white space is left go; others
-    keep all that is not repeated. Rows without a repeated passage pass unchanged, null ids and texts included.
+    keep all that is not repeated. Rows without a repeated passage pass unchanged, null ids and texts included; rows that repeat
+    an id are cut each by the passages of its own text.
     """
     ws = ws or Workspace(docs.sparkSession, "cut")
     found = repeated_passages(docs, ws=ws)
-    spans = ws.write(found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut_spans_")), "spans")
-    rows = docs.join(bounded(spans, BROADCAST_ROWS // 10), "doc_id", "left")
+    spans = found.groupBy(F.col("doc_id").alias("d_"), F.col("text_hash").alias("t_")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut_spans_"))
+    spans = bounded(ws.write(spans, "spans"), BROADCAST_ROWS // 10)
+    rows = docs.join(spans, (docs["doc_id"] == spans["d_"]) & (F.xxhash64(docs["text"].cast("string")) == spans["t_"]), "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -376,8 +448,6 @@ def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
             at = [m.span() for m in CHAR_WORD.finditer(text)]
             kept, last = [], 0
             for c in cuts:
-                if c["start"] >= len(at) or c["end"] > len(at):
-                    continue
                 begin, end = at[c["start"]][0], at[c["end"] - 1][1]
                 kept.append(text[last : max(begin, last)])
                 last = max(last, end)
@@ -385,7 +455,7 @@ def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
             out.append(left.strip() or None)
         return pd.Series(out)
 
-    hit = rows.where("cut_spans_ is not null").withColumn("text", without("text", "cut_spans_")).where("text is not null")
+    hit = rows.where("cut_spans_ is not null").withColumn("text", without(F.col("text").cast("string"), "cut_spans_")).where("text is not null")
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.char_length("text").cast("long"))
     return rows.where("cut_spans_ is null").select(*docs.columns).unionByName(hit.select(*docs.columns))
