@@ -98,6 +98,57 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0x9E3779B97F4A7C15
+_CHUNK = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base modulo 2 ** 64, at least n, and those of its inverse."""
+    while len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            step = np.uint64(pow(base, len(_powers[i]), 2**64))
+            _powers[i] = np.concatenate([_powers[i], _powers[i] * step])
+    return _powers[0], _powers[1]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word of ``words``, alike in every process: a polynomial of its bytes, by differences of prefix sums."""
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > _CHUNK:  # a piece ends at white space
+            stop = at + _CHUNK
+            while stop < len(raw) and not _SPACE[raw[stop]]:
+                stop += 1
+        b = np.frombuffer(raw, np.uint8, stop - at, at)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]])))
+        start, end = edge[::2], edge[1::2]
+        power, inverse = powers(len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
+        out.append(mix64((sums[end] - sums[start]) * inverse[start]))
+        at = stop
+    return np.concatenate(out)
+
+
+def gathered(frames: Iterator, size: int = 20_000) -> Iterator:
+    """Joins small frames until they hold size rows."""
+    import pandas as pd
+
+    held, n = [], 0
+    for f in frames:
+        held.append(f)
+        n += len(f)
+        if n >= size:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def finite_vector(col: str) -> Column:
     """True where an array of floats is present, not empty, and holds only finite numbers."""
     bad = F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, bounded, components, mix64, rolling, small_batches, words
+from .common import BROADCAST_ROWS, Workspace, bounded, components, mix64, rolling, small_batches, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -28,12 +28,8 @@ MAX_DEPTH = 12
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of all runs of SHINGLE words; a shorter text is one shingle."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.uint64)
-    known = {w: xxhash.xxh64_intdigest(w) for w in set(ws)}
-    h = np.array([known[w] for w in ws], np.uint64)
-    return np.unique(rolling(h, min(SHINGLE, len(h))))
+    h = word_hashes(text)
+    return np.unique(rolling(h, min(SHINGLE, len(h)))) if len(h) else h
 
 
 def seeds_of(key: int, n: int) -> np.ndarray:

@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD_SQL, Workspace, bounded, rolling, small_batches, words
+from .common import BROADCAST_ROWS, WORD_SQL, Workspace, bounded, gathered, rolling, small_batches, word_hashes
 from .minhash import runs, union
 
 #: Words of a shingle, by which passages are alike or not.
@@ -31,12 +30,6 @@ OTHER = "doc <> adoc or k <> ak"
 CHAR_WORD = re.compile(r"[^ \t-\r]+")
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    ws = words(text)
-    known = {w: xxhash.xxh64_intdigest(w) for w in set(ws)}
-    return np.fromiter((known[w] for w in ws), np.uint64, len(ws))
-
-
 def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the winnowed SEED-word runs: the least of every WINDOW successive ones.
 
@@ -212,18 +205,15 @@ def stretches(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def seed_pairs(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, positions, later positions) of all pairs of one text's seeds that MIN_WORDS words can hold."""
-    out = [(np.zeros(0, np.uint64), x[:0], x[:0])]
+    """(hashes, first, second) of all pairs of one text's ascending seeds that MIN_WORDS words can hold."""
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, len(x)):
-        i = np.flatnonzero(x[step:] - x[:-step] <= MIN_WORDS - SEED)
-        if not len(i):
+        at = np.flatnonzero(x[step:] - x[:-step] <= MIN_WORDS - SEED)
+        if not len(at):
             break
-        out.append((rolling_pair(h[i], h[i + step]), x[i], x[i + step]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def rolling_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return rolling(np.stack([a, b], 1).ravel(), 2)[::2]
+        i, j = [*i, at], [*j, at + step]
+    a, b = np.concatenate(i), np.concatenate(j)
+    return rolling(np.stack([h[a], h[b]], 1).ravel(), 2)[::2], a, b
 
 
 class Search:
@@ -299,10 +289,13 @@ class Search:
         ws.release()
 
         def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last: tuple[str, np.ndarray] = ("", word_hashes(""))
             for f in frames:
                 out = []
                 for doc, k, adoc, ak, cs, t1, t2 in zip(f.doc, f.k, f.adoc, f.ak, f.chains, f.t1, f.t2, strict=True):
-                    a, b, found = word_hashes(t1), word_hashes(t2), []
+                    if t2 != last[0]:  # pairs come sorted by the other text
+                        last = (t2, word_hashes(t2))
+                    a, b, found = word_hashes(t1), last[1], []
                     for c in cs:
                         xs, ys = list(c["xs"]), list(c["ys"])
                         for part in chain(xs, ys) if c["loose"] else [range(len(xs))]:
@@ -320,7 +313,7 @@ class Search:
         return got
 
     def outside(self, asked: DataFrame, found: DataFrame, margin: int, label: str) -> DataFrame:
-        """What of each text's repeated seeds (xs, hs) does not lie ``margin`` words inside a passage found, and the seeds beside.
+        """What of each text's repeated seeds (xs, hs) does not lie ``margin`` words inside a passage found (open), and the seeds beside.
 
         A passage that begins or ends with the text needs no margin there. Texts of whose seeds none is left are absent.
         """
@@ -339,50 +332,60 @@ class Search:
                     if len(at):
                         i = np.searchsorted(at, x)
                         beside = np.minimum(np.abs(x - at[np.minimum(i, len(at) - 1)]), np.abs(x - at[np.maximum(i - 1, 0)])) <= MIN_WORDS
-                        out.append((doc, k, x[beside].tolist(), h[beside].tolist()))
-                yield pd.DataFrame(out, columns=["doc", "k", "xs", "hs"])
+                        out.append((doc, k, x[beside].tolist(), h[beside].tolist(), left[beside].tolist(), spans))
+                yield pd.DataFrame(out, columns=["doc", "k", "xs", "hs", "open", "spans"])
 
-        return self.ws.write(rows.select(*TEXT, "xs", "hs", "spans").mapInPandas(rest, "doc long, k long, xs array<int>, hs array<long>"), f"asked-{label}")
+        schema = "doc long, k long, xs array<int>, hs array<long>, open array<boolean>, spans array<struct<start:int,end:int,ends_text:boolean>>"
+        return self.ws.write(rows.select(*TEXT, "xs", "hs", "spans").mapInPandas(rest, schema), f"asked-{label}")
 
-    def again(self, keys: DataFrame, asked: DataFrame, places: list[str]) -> DataFrame:
-        """Pairs to confirm of texts asked for, by the first place of longer keys (key, doc, k, places)."""
-        mine = keys.join(bounded(asked.select(*TEXT)), TEXT, "left_semi")
+    def again(self, mine: DataFrame, keys: DataFrame, places: list[str]) -> DataFrame:
+        """Pairs to confirm of texts by the first place, among all keys (key, doc, k, places), of those that they ask for."""
         met = mine.join(self.first(keys, "key", *places), "key").where(OTHER)
         point = F.explode(F.array(*[F.struct(F.col(p).alias("x"), F.col(f"a{i}").alias("y")) for i, p in enumerate(places)]))
         met = met.select(*TEXT, "adoc", "ak", point.alias("p")).groupBy(*TEXT, "adoc", "ak").agg(F.array_sort(F.collect_set("p")).alias("m"))
         entry = F.struct(F.transform("m", lambda p: p["x"]).alias("xs"), F.transform("m", lambda p: p["y"]).alias("ys"), F.lit(True).alias("loose"))
         return met.select(*TEXT, "adoc", "ak", F.array(entry).alias("chains"))
 
-    def by_pairs(self, occurrences: DataFrame) -> DataFrame:
-        """Keys of all pairs of near seeds of a text."""
+    def by_pairs(self, occurrences: DataFrame, asked: DataFrame) -> DataFrame:
+        """Pairs to confirm by the keys of all pairs of near seeds of a text, those asked for with an open seed."""
 
-        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for g in runs(frames, "gid"):
-                key, x, z = seed_pairs(g.x.to_numpy(), g.h.to_numpy().view(np.uint64))
-                if len(key):
-                    yield pd.DataFrame({"key": key.view(np.int64), "doc": np.repeat(g.doc.to_numpy()[:1], len(key)), "k": np.repeat(g.k.to_numpy()[:1], len(key)), "x": x.astype(np.int32), "z": z.astype(np.int32)})
+        def keyed(doc: int, k: int, x: np.ndarray, h: np.ndarray, of: np.ndarray | None) -> pd.DataFrame:
+            key, i, j = seed_pairs(x, h.view(np.uint64))
+            wanted = np.ones(len(key), bool) if of is None else of[i] | of[j]
+            return pd.DataFrame({"key": key.view(np.int64), "doc": doc, "k": k, "x": x[i].astype(np.int32), "z": x[j].astype(np.int32)})[wanted]
+
+        def every(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return gathered(keyed(int(g["doc"].iloc[0]), int(g["k"].iloc[0]), g["x"].to_numpy(), g["h"].to_numpy(), None) for g in runs(frames, "gid"))
+
+        def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return gathered(keyed(doc, k, np.asarray(xs, np.int64), np.asarray(hs, np.int64), np.asarray(of, bool)) for f in frames for doc, k, xs, hs, of in zip(f["doc"], f["k"], f["xs"], f["hs"], f["open"], strict=True))
 
-        return self.ws.write(occurrences.mapInPandas(make, "key long, doc long, k long, x int, z int"), "keys-pairs")
+        schema = "key long, doc long, k long, x int, z int"
+        keys = self.ws.write(occurrences.mapInPandas(every, schema), "keys-pairs")
+        return self.again(asked.select(*TEXT, "xs", "hs", "open").mapInPandas(own, schema), keys, ["x", "z"])
 
-    def by_words(self, occurrences: DataFrame) -> DataFrame:
-        """Keys of all MIN_WORDS successive words that may be repeated as a whole."""
+    def by_words(self, occurrences: DataFrame, asked: DataFrame) -> DataFrame:
+        """Pairs to confirm by the keys of all MIN_WORDS successive words that may be repeated as a whole, those asked for in no passage found."""
 
         def where(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for g in runs(frames, "gid"):
-                got = stretches(g.x.to_numpy())
-                if got:
-                    yield pd.DataFrame({"doc": [int(g.doc.iloc[0])], "k": [int(g.k.iloc[0])], "begin": [[i for i, _ in got]], "stop": [[j for _, j in got]]})
+            got = ((int(g["doc"].iloc[0]), int(g["k"].iloc[0]), stretches(g["x"].to_numpy())) for g in runs(frames, "gid"))
+            return gathered(pd.DataFrame({"doc": [doc], "k": [k], "begin": [[i for i, _ in at]], "stop": [[j for _, j in at]]}) for doc, k, at in got if at)
 
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for doc, k, begin, stop, text in zip(f.doc, f.k, f.begin, f.stop, f.text, strict=True):
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
+                for doc, k, begin, stop, text in zip(f["doc"], f["k"], f["begin"], f["stop"], f["text"], strict=True):
                     g = rolling(word_hashes(text), MIN_WORDS)
-                    x = np.unique(np.concatenate([np.arange(i, min(j, len(g))) for i, j in zip(begin, stop, strict=True)])).astype(np.int32)
-                    yield pd.DataFrame({"key": g[x].view(np.int64), "doc": doc, "k": k, "x": x})
+                    x = np.unique(np.concatenate([np.arange(i, min(j, len(g))) for i, j in zip(begin, stop, strict=True)]))
+                    out.append([g[x].view(np.int64), np.full(len(x), doc), np.full(len(x), k), x])
+                yield pd.DataFrame(dict(zip(("key", "doc", "k", "x"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
         at = self.ws.write(occurrences.mapInPandas(where, "doc long, k long, begin array<int>, stop array<int>"), "stretches")
         rows = self.texts.join(bounded(at, BROADCAST_ROWS // 10), TEXT).select(*TEXT, "begin", "stop", "text")
-        return self.ws.write(rows.mapInPandas(make, "key long, doc long, k long, x int"), "keys-words")
+        keys = self.ws.write(rows.mapInPandas(make, "key long, doc long, k long, x int"), "keys-words")
+        inside = F.exists("spans", lambda s: (s["start"] <= F.col("x")) & (F.col("x") + MIN_WORDS <= s["end"]))
+        mine = keys.join(bounded(asked.select(*TEXT, "spans"), BROADCAST_ROWS // 10), TEXT).where(~F.coalesce(inside, F.lit(False))).drop("spans")
+        return self.again(mine, keys, ["x"])
 
     def run(self) -> DataFrame:
         ws = self.ws
@@ -392,11 +395,11 @@ class Search:
         chained = chains.where("adoc is not null").groupBy(*TEXT, "adoc", "ak")
         out = [self.confirm(chained.agg(F.array_sort(F.collect_list(F.struct("xs", "ys", F.lit(False).alias("loose")))).alias("chains")), "seeds")]
         repeated = chains.where("adoc is null").select(*TEXT, "xs", "hs")
-        for label, keys, places, margin in (("pairs", self.by_pairs, ["x", "z"], 0), ("words", self.by_words, ["x"], MIN_WORDS - SEED)):
+        for label, more, margin in (("pairs", self.by_pairs, 0), ("words", self.by_words, MIN_WORDS - SEED)):
             asked = self.outside(repeated, union(out), margin, label)
             some = ws.write(asked.select(F.explode("hs").alias("h")).distinct(), f"wanted-{label}")
             occurrences = all_seeds.join(bounded(some), "h", "left_semi").select(F.xxhash64(*TEXT).alias("gid"), *TEXT, "x", "h").repartition("gid").sortWithinPartitions("gid", "x")
-            out.append(self.confirm(self.again(keys(occurrences), asked, places), label))
+            out.append(self.confirm(more(occurrences, asked), label))
             ws.drop(f"keys-{label}", f"wanted-{label}", f"covered-{label}", f"asked-{label}")
         ws.drop("seeds", "chains")
         marks = self.marks

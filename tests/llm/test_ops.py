@@ -77,8 +77,9 @@ def test_near_duplicates(docs, empty):
 
 def test_large_nodes_branch_and_finish(spark, monkeypatch):
     """Nodes far over the limit, one component and many, give the exact components."""
-    monkeypatch.setattr(minhash, "NODE_LIMIT", 4)
-    monkeypatch.setattr(minhash, "CHUNK", 8)
+    monkeypatch.setattr(minhash, "NODE_LIMIT", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "WIDE_BLOCK", 4)
     monkeypatch.setattr(minhash, "MAX_DEPTH", 3)
     g = np.random.default_rng(2)
     base = prose(g, 60).split()
@@ -89,21 +90,56 @@ def test_large_nodes_branch_and_finish(spark, monkeypatch):
     assert all(got[i] == i for i in range(30)) and {got[i] for i in range(30, 60)} == {30}
 
 
-def test_shared_roots_are_no_comparison():
-    """A pair that shares every root is compared in a later node: it may have been parted in each."""
-    sig = np.ones((2, minhash.POSITIONS), np.uint32)
-    sig[1, 160:] = 2
-    one = np.arange(2)
-    tree = (9,) if "tree" in minhash.node_pairs.__code__.co_varnames else ()
-    assert minhash.node_pairs(one, sig, np.array([100, 100]), one, np.array([True, True]), *tree, True) == [(0, 1)]
+def test_alike_texts_just_below_and_above(spark, monkeypatch):
+    """Links at the very threshold count, in whole nodes and across blocks; a group below it stays apart."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "WIDE_BLOCK", 4)
+    w = [f"a{i}" for i in range(53)]
+    texts = [" ".join(w[:32]), " ".join(w[:25]), " ".join([*w[:24], "other"])]  # 28 shingles, 21 of them: 0.75 exactly; 20 of 29
+    texts += [" ".join([*w[:40], *(f"b{i}_{k}" for k in range(10))]) for i in range(20)]  # 36 shared of 56
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sh = [sets(t) for t in texts]
+    linked = {(i, j) for i in range(len(sh)) for j in range(i) if 100 * len(sh[i] & sh[j]) >= 75 * len(sh[i] | sh[j])}
+    assert (1, 0) in linked and all(got[i] == got[j] for i, j in linked)
+    assert all(got[i] == i for i in range(3, 23))
 
 
-def test_the_cut_loses_hardly_a_pair_at_the_threshold():
-    from math import comb
+def test_node_links_are_those_of_brute_force():
+    g = np.random.default_rng(8)
+    base = g.integers(0, 2**63, 60).astype(np.uint64)
+    members = [np.unique(np.concatenate([base[g.random(60) < 0.92], g.integers(0, 2**63, int(g.integers(0, 6))).astype(np.uint64)])) for _ in range(60)]
+    labels = np.array([i if i % 3 else 0 for i in range(60)])
+    up = {int(x): int(x) for x in labels}
 
-    n = minhash.POSITIONS
-    lost = sum(comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(n + 1) if k / n < minhash.MAYBE)
-    assert lost < 2e-5
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(members[i], members[j]))
+            if 100 * both >= 75 * (len(members[i]) + len(members[j]) - both):
+                up[root(int(labels[i]))] = root(int(labels[j]))
+    want = {frozenset(x for x in up if root(x) == r) for r in {root(x) for x in up}}
+    links = minhash.node_links(labels, members)
+    up = {x: x for x in up}
+    for a, b in links:
+        assert root(a) != root(b)  # a forest
+        up[root(a)] = root(b)
+    assert {frozenset(x for x in up if root(x) == r) for r in {root(x) for x in up}} == want
+
+
+@pytest.mark.parametrize("text", ["", " \t\n", "One  two\x0bTHREE", "é\x85É ünï\u3000x", "\x00 a\x1c b", "x" * 3_000 + " y " * 900])
+def test_word_hashes_follow_words(text, monkeypatch):
+    from gristmill.llm import common
+
+    monkeypatch.setattr(common, "_CHUNK", 1000)
+    known, h = {}, common.word_hashes(text)
+    assert len(h) == len(words(text))
+    for w, x in zip(words(text), h.tolist(), strict=True):
+        assert known.setdefault(w, x) == x == common.word_hashes(w.decode())[0]
+    assert len(set(known.values())) == len(known)
 
 
 @pytest.mark.parametrize("small", [0, 20_000])
@@ -400,6 +436,48 @@ def test_passages_of_mosaics(spark):
     assert got == {(13, 2): (40, 130), (18, 17): (40, 150)}
 
 
+def test_passages_that_first_occur_in_parts(spark):
+    """The halves of what two documents share occur first, alone and too short, in others; and texts under one id are told apart."""
+    g = np.random.default_rng(21)
+    p = prose(g, 80).split()
+    around = lambda t: f"{prose(g, 45)} {t} {prose(g, 45)}"
+    q = prose(g, 70)
+    rows = [(0, around(" ".join(p[:40]))), (1, around(" ".join(p[40:]))), (2, around(" ".join(p))), (3, around(" ".join(p)))]
+    rows += [(5, prose(g, 120)), (5, around(q)), (6, around(q)), (7, rows[3][1]), (None, around(q)), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.other_doc_id): (x.start, x.end) for x in passages.repeated_passages(d).collect()}
+    assert got == {(3, 2): (45, 125), (6, 5): (45, 115), (7, 3): (0, 170)}
+    kept = passages.cut_passages(d).collect()
+    assert sorted(len(words(r.text)) for r in kept if r.doc_id == 5) == [120, 160] and [len(words(r.text)) for r in kept if r.doc_id == 6] == [90]
+    assert not [r for r in kept if r.doc_id == 7] and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_fuzzy_passages_against_brute_force(spark):
+    """Copies of passages with an edit for each 40 words: the edited stretch is found whole; one with too many edits is not."""
+    g = np.random.default_rng(22)
+    rows, want, n = [], {}, 0
+    for n_words in (60, 90, 160, 400):
+        for _ in range(12):
+            p = prose(g, n_words).split()
+            e = p[:]
+            at = np.arange(20, n_words - 15, 40) + g.integers(0, 10)
+            for k in at[at < n_words - 10]:
+                e[k] = f"edit{n}"
+            lead, tail = int(g.integers(0, 60)), int(g.integers(0, 60))
+            rows += [(n, f"{prose(g, 30)} {' '.join(p)} {prose(g, 30)}"), (n + 1, " ".join([*g.choice(WORDS, lead), *e, *g.choice(WORDS, tail)]))]
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (p, e))
+            if len(a & b) >= 0.75 * len(a | b):
+                want[n + 1] = (lead, lead + n_words, n)
+            n += 2
+    for _ in range(10):  # every tenth word differs
+        p = prose(g, 200).split()
+        rows += [(n, " ".join(p)), (n + 1, " ".join(w if i % 10 else "no" for i, w in enumerate(p)))]
+        n += 2
+    got = {x.doc_id: (x.start, x.end, x.other_doc_id) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 40 and set(got) <= {n for n in range(96)}
+    assert all(d in got and got[d][2] == o and got[d][0] <= s + 2 and got[d][1] >= e - 2 for d, (s, e, o) in want.items())
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>site</header><nav><a href=/>home</a></nav>
 <div class="cookie-notice">we use cookies</div><div id=content><div class="post"><h1>Head &amp; line</h1><p>First   <b>bold</b> text&nbsp;here, long enough to weigh something in any density.<p>Second
 line with <a href=x>a link</a> and more words to make it the main part of the page.</div></div>
