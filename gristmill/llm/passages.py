@@ -120,14 +120,17 @@ def extend(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def align(a: np.ndarray, b: np.ndarray, points: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of equal words along a chain of seeds and past its ends, in order in both texts."""
-    out, at, to = [], 0, 0
+    """Runs of equal words along a chain of seeds and past its ends, in order in both texts; runs that touch are one."""
+    out: list[tuple[int, int, int]] = []
+    at = to = 0
     for x, y in points:
         if x < at or y < to:
             continue
         back = extend(a[at:x][::-1], b[to:y][::-1])
-        out += [(x - i - n, y - j - n, n) for i, j, n in reversed(back)]
-        out += [(x + i, y + j, n) for i, j, n in extend(a[x:], b[y:])]
+        for i, j, n in [*((x - i - n, y - j - n, n) for i, j, n in reversed(back)), *((x + i, y + j, n) for i, j, n in extend(a[x:], b[y:]))]:
+            if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+                i, j, n = out[-1][0], out[-1][1], out.pop()[2] + n
+            out.append((i, j, n))
         at, to = out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]
     return out
 
