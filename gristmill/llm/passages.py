@@ -119,6 +119,14 @@ def extend(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def run_around(a: np.ndarray, b: np.ndarray, x: int, y: int, most: int) -> int:
+    """How many successive words around a shared seed are equal; at most about twice ``most``."""
+    back, on = min(x, y, most), min(len(a) - x, len(b) - y, most)
+    before = np.flatnonzero(a[x - back : x] != b[y - back : y])
+    after = np.flatnonzero(a[x : x + on] != b[y : y + on])
+    return (back - 1 - int(before[-1]) if len(before) else back) + (int(after[0]) if len(after) else on)
+
+
 def align(a: np.ndarray, b: np.ndarray, points: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Runs of equal words along a chain of seeds and past its ends, in order in both texts; runs that touch are one."""
     out: list[tuple[int, int, int]] = []
@@ -224,7 +232,7 @@ class Search:
 
     def __init__(self, docs: DataFrame, ws: Workspace, id_col: str, text_col: str):
         self.ws, self.spark = ws, docs.sparkSession
-        small_batches(self.spark)
+        small_batches(self.spark, 128)  # pairs of long texts
         text = F.col(text_col).cast("string")
         rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark")).where("doc is not null and text is not null")
         marks = ws.write(rows.groupBy("doc", "mark").count(), "marks")
@@ -303,7 +311,9 @@ class Search:
                         xs, ys = list(c["xs"]), list(c["ys"])
                         for part in chain(xs, ys) if c["loose"] else [range(len(xs))]:
                             points = [(xs[i], ys[i]) for i in part]
-                            if not all(any(s <= x < e and t <= y < u for s, e, t, u, _ in found) for x, y in points):
+                            if len(points) == 1 and run_around(a, b, *points[0], SEED + WINDOW) < SEED + WINDOW - 1:
+                                continue  # no passage, or one with another seed, whose pair with this one is a longer key
+                            if not all(any(s <= x and x + SEED <= e for s, e, *_ in found) for x, _ in points):  # words known to be in the other text
                                 found += [p for p in passages(a, b, align(a, b, points)) if p not in found]
                     out += [(doc, k, s, e, e == len(a), adoc, ak, t, u, like) for s, e, t, u, like in found]
                 yield pd.DataFrame(out, columns=["doc", "k", "start", "end", "ends_text", "adoc", "ak", "other_start", "other_end", "similarity"])
