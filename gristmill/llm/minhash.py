@@ -298,7 +298,7 @@ class Join:
         low = ws.write(comp.groupBy("component").agg(F.min("low").alias("component_id"), F.min("lead").alias("lead")).select("component", "component_id", F.col("lead.rid").alias("lead")), "lowest")
         comp = ws.write(comp.select("component", "f1", "f2").join(bounded(low), "component").select("f1", "f2", "component_id", "lead"), "class-ids")
         ws.drop("class-components", "lowest", "classes")
-        out = sketch.select("doc_id", "n_shingles", "f1", "f2", "text_hash", "rid").join(bounded(comp, BROADCAST_ROWS // 4), ["f1", "f2"], "left")
+        out = sketch.select("doc_id", "n_shingles", "f1", "f2", "text_hash", "rid").join(bounded(comp, BROADCAST_ROWS // 10), ["f1", "f2"], "left")
         out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", (F.coalesce("lead", "rid") == F.col("rid")).alias("representative"))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

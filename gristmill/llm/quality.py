@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -158,14 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = lab.orderBy("h", "id_").limit(max_rows)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = rows.join(F.broadcast(lab), "id_")  # at most max_rows rows of labels
-    picked = picked.withColumn("x", F.xxhash64("text")).withColumn("b", F.octet_length("text").cast("long"))
+    picked = picked.withColumn("x", F.xxhash64("text")).withColumn("b", F.octet_length("text").cast("long")).withColumn("key", F.xxhash64("id_", "x"))
     left, taken = max_bytes, []
-    for r in picked.groupBy("h", "id_", "x").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("c")).orderBy("h", "id_", "x").toLocalIterator():  # rows of numbers
+    for r in picked.groupBy("h", "id_", "x", "key").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("c")).orderBy("h", "id_", "x").toLocalIterator():  # rows of numbers
         if r.b * r.c <= left:
             left -= r.b * r.c
-            taken.append((r.id_, r.x))
-    some = docs.sparkSession.createDataFrame(taken, T.StructType([picked.schema["id_"], picked.schema["x"]]))
-    got = picked.join(F.broadcast(some), ["id_", "x"]).orderBy("h", "id_", "x").select("text", "y").toPandas()
+            taken.append(r.key)
+    got = picked.where(F.col("key").isin(taken)).orderBy("h", "id_", "x").select("text", "y").toPandas()
     y = got["y"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         model = word_vectors(list(got["text"]))
