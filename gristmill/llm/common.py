@@ -57,8 +57,8 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
-#: Rows of a few numbers each that may be sent to every executor, some tens of megabytes.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers each that may be sent to every executor, some ten megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, bounded, components, mix64, rolling, small_batches, word_hashes
+from .common import Workspace, bounded, components, mix64, rolling, small_batches, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -145,7 +145,7 @@ class Join:
         """The full shingle sets of the classes in such roots, in one more pass over their texts."""
         ids = self.nodes.select("cid").distinct()
         need = self.ws.write(self.classes.join(ids, "cid").select("cid", "f1", "f2", F.col("lead.doc_id").alias("d_"), F.col("lead.text_hash").alias("t_")), "need")
-        near = bounded(need, BROADCAST_ROWS // 4)
+        near = bounded(need)
         texts = self.docs.join(near, self.docs["doc_id"].eqNullSafe(near["d_"]) & (self.docs["text_hash"] == near["t_"])).select("cid", "f1", "f2", "text")
 
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,9 +164,9 @@ class Join:
 
     def with_sets(self, rows: DataFrame) -> DataFrame:
         """Staged rows with the sets of their classes: few rows go to the sets; else the sets that rows need are shuffled."""
-        near = bounded(rows, BROADCAST_ROWS // 2)
+        near = bounded(rows)
         if near is rows:
-            return rows.join(self.sets.join(bounded(rows.select("cid").distinct(), BROADCAST_ROWS // 4), "cid", "left_semi"), "cid")
+            return rows.join(self.sets.join(bounded(rows.select("cid").distinct()), "cid", "left_semi"), "cid")
         return self.sets.join(near, "cid")
 
     def described(self, nodes: DataFrame, r: int) -> DataFrame:
@@ -185,7 +185,7 @@ class Join:
         small = (F.col("age") == 0) & (F.col("n") <= BLOCK)
         one = s.where(small).groupBy("n", "x0", "x1").agg(F.min("node").alias("node"))
         s = ws.write(s.where(~small).select("node", "n", "m", "most").unionAll(one.join(s, ["node", "n", "x0", "x1"]).select("node", "n", "m", "most")), f"open-{r}")
-        out = ws.write(rows.join(bounded(s, BROADCAST_ROWS // 4), "node"), f"level-{r}")
+        out = ws.write(rows.join(bounded(s), "node"), f"level-{r}")
         ws.drop(f"labelled-{r}", f"stats-{r}")
         return out
 
@@ -298,7 +298,7 @@ class Join:
         low = ws.write(comp.groupBy("component").agg(F.min("low").alias("component_id"), F.min("lead").alias("lead")).select("component", "component_id", F.col("lead.rid").alias("lead")), "lowest")
         comp = ws.write(comp.select("component", "f1", "f2").join(bounded(low), "component").select("f1", "f2", "component_id", "lead"), "class-ids")
         ws.drop("class-components", "lowest", "classes")
-        out = sketch.select("doc_id", "n_shingles", "f1", "f2", "text_hash", "rid").join(bounded(comp, BROADCAST_ROWS // 10), ["f1", "f2"], "left")
+        out = sketch.select("doc_id", "n_shingles", "f1", "f2", "text_hash", "rid").join(bounded(comp), ["f1", "f2"], "left")
         out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", (F.coalesce("lead", "rid") == F.col("rid")).alias("representative"))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from .tokens import encoder
 CAPACITY = 2048
 ROUNDS = 160
 RANK_GROUP = 2048
+STAGES = 4
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
@@ -48,66 +50,69 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     The linear program covers every length's count with configurations (multisets of lengths
     that fit). Multiplicative weights: a length's price falls exponentially with the share of its count
     that is covered, knapsack pricing finds the configuration of greatest value, and the mean of the
-    configurations is the fractional solution. Rounded down, it leaves few pieces; these
-    go by best fit, the longest first, into new sequences. Input and work depend on the
+    configurations is the fractional solution. It is rounded up to whole sequences, the fullest configurations first, as far as pieces are
+    left; the program is solved again for those that rounding leaves, and the last go longest first. Where that
+    needs more sequences than longest first alone, which small or easy histograms may, the latter is the answer. Input and work depend on the
     number of distinct lengths only, at most ``capacity``.
     """
     left = Counter({int(n): int(c) for n, c in histogram.items() if c > 0})
+    plain = longest_first(left, capacity)
     out: Counter = Counter()
-    full = left.pop(capacity, 0)
-    if full:
-        out[(capacity,)] = full
-    stages = 0
-    while sum(left.values()) > 64 and stages < 3:
-        # scaled up a little less each time, the program is solved again for what rounding left
-        lengths = np.array(sorted(left), np.int64)
-        need = np.array([left[int(n)] for n in lengths], float)
-        bins = float((need * lengths).sum()) / capacity
-        found: Counter = Counter()
-        cover = np.zeros(len(lengths))
-        eta = np.log(max(2, len(lengths))) * 4
-        step = bins / rounds
-        at = {int(n): i for i, n in enumerate(lengths)}
-        for t in range(rounds):
-            gap = cover / need - (t + 1) / rounds
-            y = np.exp(-eta * np.clip(gap * rounds / 8, -4, 4)) * lengths
-            config = price(y / y.sum() * len(lengths) + 1e-9 * lengths, lengths, capacity)
-            if not config:
-                break
-            found[tuple(sorted(config, reverse=True))] += 1
-            for n in config:
-                cover[at[n]] += step
+    for _ in range(STAGES):
         before = sum(left.values())
-        for config, times in sorted(found.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
+        if not before:
+            break
+        for config, times in fractional(left, capacity, rounds):
             uses = Counter(config)
-            whole = min(int(times * step), *(left[n] // c for n, c in uses.items()))
+            whole = min(math.ceil(times), *(left[n] // c for n, c in uses.items()))
             if whole > 0:
                 out[config] += whole
                 for n, c in uses.items():
                     left[n] -= c * whole
         left = +left
-        stages += 1
         if sum(left.values()) > 0.9 * before:
             break
-    for config in best_fit(left, capacity):
-        out[config] += 1
-    return sorted(out.items())
+    for config, times in longest_first(left, capacity).items():
+        out[config] += times
+    return sorted((out if sum(out.values()) <= sum(plain.values()) else plain).items())
+
+
+def fractional(left: Counter, capacity: int, rounds: int) -> list[tuple[tuple[int, ...], float]]:
+    """The program's solution: configurations and the sequences each should get, the fullest and then the most frequent first."""
+    lengths = np.array(sorted(left), np.int64)
+    need = np.array([left[int(n)] for n in lengths], float)
+    step = float((need * lengths).sum()) / capacity / rounds
+    found: Counter = Counter()
+    cover = np.zeros(len(lengths))
+    eta = np.log(max(2, len(lengths))) * 4
+    at = {int(n): i for i, n in enumerate(lengths)}
+    for t in range(rounds):
+        gap = cover / need - (t + 1) / rounds
+        y = np.exp(-eta * np.clip(gap * rounds / 8, -4, 4)) * lengths
+        config = price(y / y.sum() * len(lengths) + 1e-9 * lengths, lengths, capacity)
+        found[tuple(sorted(config, reverse=True))] += 1
+        for n in config:
+            cover[at[n]] += step
+    return sorted(((c, n * step) for c, n in found.items()), key=lambda x: (-sum(x[0]), -x[1], x[0]))
 
 
-def best_fit(left: Counter, capacity: int) -> Iterator[tuple[int, ...]]:
-    """Best fit, longest first, over counts of lengths: each sequence takes the longest remaining length that fits."""
-    lengths = sorted((n for n in left if left[n] > 0), reverse=True)
-    left = Counter(left)
-    while any(left[n] for n in lengths):
-        room, config = capacity, []
+def longest_first(counts: Counter, capacity: int) -> Counter:
+    """Each sequence takes the longest remaining length that fits, again and again; equal sequences are made at once."""
+    left, out = +Counter(counts), Counter()
+    lengths = sorted(left, reverse=True)
+    while lengths:
+        room, uses = capacity, {}
         for n in lengths:
             take = min(left[n], room // n)
             if take:
-                config += [n] * take
+                uses[n] = take
                 room -= n * take
-                left[n] -= take
+        times = min(left[n] // c for n, c in uses.items())
+        out[tuple(n for n, c in uses.items() for _ in range(c))] += times
+        for n, c in uses.items():
+            left[n] -= c * times
         lengths = [n for n in lengths if left[n]]
-        yield tuple(config)
+    return out
 
 
 def tokenize_pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:

@@ -21,6 +21,8 @@ SEED = 12
 WINDOW = 13
 GAP = 0.1
 MIN_WORDS = 51
+#: Bits of a word's place beside a text's id in 64 bits.
+PLACE_BITS = 26
 SIMILARITY = 0.75
 SHIFT = 8
 AGREE = 4
@@ -235,8 +237,10 @@ class Search:
         small_batches(self.spark)
         text = F.col(text_col).cast("string")
         rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark")).where("doc is not null and text is not null")
-        marks = ws.write(rows.groupBy("doc", "mark").count(), "marks")
+        marks = ws.write(rows.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("count"), F.max(F.octet_length("text")).alias("bytes")), "marks")
         several = ws.write(marks.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc", F.lit(True).alias("several")), "several")
+        low, high, longest = marks.agg(F.min("doc"), F.max("doc"), F.max("bytes")).first()
+        self.fits = several.isEmpty() and low is not None and low >= 0 and high < 2 ** (63 - PLACE_BITS) and longest < 2**PLACE_BITS
         copies = marks.groupBy("mark").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("mark", "lead")
         self.copies = ws.write(copies, "copies")
         keyed = lambda t: t.join(bounded(several), "doc", "left").withColumn("k", F.when(F.col("several"), F.col("mark")).otherwise(0)).drop("several")
@@ -252,7 +256,14 @@ class Search:
         return self.texts.join(bounded(self.ws.write(need.select(*TEXT).distinct(), label)), TEXT, "left_semi")
 
     def first(self, rows: DataFrame, key: str, *places: str) -> DataFrame:
-        """The first place of every key that several texts have: key, adoc, ak and the places as a0, a1; combined before the shuffle."""
+        """The first place of every key that several texts have: key, adoc, ak and the places as a0, a1; combined before the shuffle.
+
+        Where a place fits 64 bits with its id, it is compared as one number, which a hash aggregation can hold; else as a struct, which is sorted.
+        """
+        if self.fits and len(places) == 1:
+            got = rows.groupBy(key).agg(F.min(F.shiftleft("doc", PLACE_BITS) + F.col(places[0])).alias("m"), F.max("doc").alias("last"))
+            got = got.withColumn("adoc", F.shiftright("m", PLACE_BITS)).where("adoc <> last")
+            return got.select(key, "adoc", F.lit(0).cast("long").alias("ak"), F.col("m").bitwiseAND(F.lit(2**PLACE_BITS - 1)).cast("int").alias("a0"))
         got = rows.groupBy(key).agg(F.min(F.struct(*TEXT, *places)).alias("m"), F.max(F.struct(*TEXT)).alias("last"))
         got = got.where((F.col("m.doc") != F.col("last.doc")) | (F.col("m.k") != F.col("last.k")))
         return got.select(key, F.col("m.doc").alias("adoc"), F.col("m.k").alias("ak"), *[F.col(f"m.{p}").alias(f"a{i}") for i, p in enumerate(places)])

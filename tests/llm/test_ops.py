@@ -379,8 +379,7 @@ def test_packing(docs, empty):
     enc = tokens.Encoder(tokenizer_path())
     total = sum(len(enc.ids(r.text)) // 4 for r in docs.collect())
     assert sum(r.length for r in rows) == total
-    least = sum(1 for _ in packing.best_fit(Counter(r.length for r in rows), 256))
-    assert len(per) <= least
+    assert len(per) <= sum(packing.longest_first(Counter(r.length for r in rows), 256).values())
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
@@ -393,7 +392,28 @@ def test_configurations_hold_the_histogram():
         for n in config:
             held[n] += times
     assert held == h
-    assert sum(t for _, t in got) <= sum(1 for _ in packing.best_fit(Counter(h), 2048))
+    assert sum(t for _, t in got) <= sum(packing.longest_first(Counter(h), 2048).values())
+    assert sum(t for _, t in packing.solve({700: 21, 600: 21, 748: 21})) == 21
+    assert packing.solve({}) == [] and packing.solve({5: 1}) == [((5,), 1)]
+
+
+def test_pieces_are_those_of_the_tokenizer(spark):
+    """piece, start, length and checksum of every row, over-long documents at 2048 included."""
+    g = np.random.default_rng(31)
+    texts = [prose(g, n) for n in (1, 300, 1500, 4000, 9000)] + [None, "", "x" * 30_000, prose(g, 300)]
+    enc, want = tokens.Encoder(tokenizer_path()).tokenizer, Counter()
+    for i, t in enumerate(texts):
+        ids = [*enc.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(ids) - 2048 * ((len(ids) - 1) // 2048)
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[(i, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b])))] += 1
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path()).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    per = defaultdict(list)
+    for r in rows:
+        per[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(p)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(p), sorted(p)[1:], strict=False)) and sum(n for _, n in p) <= 2048 for p in per.values())
 
 
 def test_passages(docs, empty):
