@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded, components, mix64, rolling, small_batches, word_hashes
+from .common import BROADCAST_ROWS, Workspace, bounded, components, mix64, rolling, small_batches, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -164,7 +164,7 @@ class Join:
 
     def with_sets(self, rows: DataFrame) -> DataFrame:
         """Staged rows with the sets of their classes: few rows go to the sets; else the sets that rows need are shuffled."""
-        near = bounded(rows)
+        near = bounded(rows, 2 * BROADCAST_ROWS)
         if near is rows:
             return rows.join(self.sets.join(bounded(rows.select("cid").distinct()), "cid", "left_semi"), "cid")
         return self.sets.join(near, "cid")

@@ -280,7 +280,7 @@ class Search:
 
     def link(self, all_seeds: DataFrame) -> DataFrame:
         """Chains of each text and the texts that its seeds occur in first (xs, ys), and a row (xs, hs) of its seeds that others have earlier."""
-        matches = all_seeds.join(self.first(all_seeds, "h", "x"), "h").where(OTHER)
+        matches = all_seeds.join(self.first(all_seeds, "h", "x").hint("merge"), "h").where(OTHER)  # one plan at all sizes
 
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cols = ["doc", "k", "adoc", "ak", "xs", "ys", "hs"]
@@ -342,7 +342,7 @@ class Search:
         A passage that begins or ends with the text needs no margin there. Texts of whose seeds none is left are absent.
         """
         spans = found.groupBy(*TEXT).agg(F.array_sort(F.collect_set(F.struct("start", "end", "ends_text"))).alias("spans"))
-        rows = asked.join(bounded(self.ws.write(spans, f"covered-{label}"), BROADCAST_ROWS // 10), TEXT, "left")
+        rows = asked.join(bounded(self.ws.write(spans, f"covered-{label}"), BROADCAST_ROWS // 2), TEXT, "left")
 
         def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -405,10 +405,10 @@ class Search:
                 yield pd.DataFrame(dict(zip(("key", "doc", "k", "x"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
         at = self.ws.write(occurrences.mapInPandas(where, "doc long, k long, begin array<int>, stop array<int>"), "stretches")
-        rows = self.texts.join(bounded(at, BROADCAST_ROWS // 10), TEXT).select(*TEXT, "begin", "stop", "text")
+        rows = self.texts.join(bounded(at, BROADCAST_ROWS // 2), TEXT).select(*TEXT, "begin", "stop", "text")
         keys = self.ws.write(rows.mapInPandas(make, "key long, doc long, k long, x int"), "keys-words")
         inside = F.exists("spans", lambda s: (s["start"] <= F.col("x")) & (F.col("x") + MIN_WORDS <= s["end"]))
-        mine = keys.join(bounded(asked.select(*TEXT, "spans"), BROADCAST_ROWS // 10), TEXT).where(~F.coalesce(inside, F.lit(False))).drop("spans")
+        mine = keys.join(bounded(asked.select(*TEXT, "spans"), BROADCAST_ROWS // 2), TEXT).where(~F.coalesce(inside, F.lit(False))).drop("spans")
         return self.again(mine, keys, ["x"])
 
     def run(self) -> DataFrame:
@@ -462,7 +462,7 @@ def cut_passages(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     ws = ws or Workspace(docs.sparkSession, "cut")
     found = repeated_passages(docs, ws=ws)
     spans = found.groupBy(F.col("doc_id").alias("d_"), F.col("text_hash").alias("t_")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut_spans_"))
-    spans = bounded(ws.write(spans, "spans"), BROADCAST_ROWS // 10)
+    spans = bounded(ws.write(spans, "spans"), BROADCAST_ROWS // 2)
     rows = docs.join(spans, (docs["doc_id"] == spans["d_"]) & (F.xxhash64(docs["text"].cast("string")) == spans["t_"]), "left")
 
     @F.pandas_udf("string")
