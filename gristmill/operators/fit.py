@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,9 @@ class RollingFit:
     """Ridge of the label's normal score on standardised features over a trailing window of dates.
 
     Training dates are (t - horizon - 1 - window, t - horizon - 1]: labels are known by t. ``contaminated``
-    takes (t - window, t] and ``full_sample`` all dates, the two planted defects. A forecast exists only where
-    the date has min_n rows with label and features, and so on rows with their own label.
+    takes (t - window, t] and ``full_sample`` all dates but the first, planted defects; so is ``standardize="full-sample"``, which takes an
+    asset's mean and deviation over all dates instead of the date's over all assets. A feature without spread is missing. A forecast exists only where
+    the date has min_n rows with label and features, and so on rows with their own label. ``ridge`` is a share of the mean diagonal.
     """
 
     features: tuple[str, ...]
@@ -28,17 +31,20 @@ class RollingFit:
     horizon: int = 1
     stride: int = 10
     min_n: int = 30
-    ridge: float = 1.0
+    ridge: float = 1e-2
     mode: str = "causal"
+    standardize: str = "cross-section"
 
     def rows(self, panel: DataFrame, by: list[str]) -> DataFrame:
         keys = [*by, "t"]
-        ok = F.col("mask") & F.col("fwd").isNotNull()
-        for f in self.features:
-            ok = ok & F.col(f).isNotNull()
-        w = W.partitionBy(*keys)
-        d = panel.where(ok).select(*keys, "asset", "fwd", *self.features).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= self.min_n)
-        z = [F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.coalesce(F.try_divide(F.col(f) - F.avg(f).over(w), F.nullif(F.stddev_pop(f).over(w), F.lit(0.0))), F.lit(0.0)))) for f in self.features]
+        w = W.partitionBy(*by, "asset" if self.standardize == "full-sample" else "t")
+        d = panel
+        for i, f in enumerate(self.features):
+            z = (F.col(f) - F.avg(f).over(w)) / F.nullif(F.stddev_pop(f).over(w), F.lit(0.0))
+            d = d.withColumn(f"z{i}_", z)
+        z = [F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col(f"z{i}_"))) for i in range(len(self.features))]
+        ok = reduce(and_, [F.col(f"z{i}_").isNotNull() for i in range(len(self.features))], F.col("mask") & F.col("fwd").isNotNull())
+        d = d.where(ok).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("n") >= self.min_n)
         d = d.withColumn("u", average_rank(keys, "fwd") / (F.col("n") + 1))
         return d.select(*keys, "asset", "n", inverse_normal(F.col("u")).alias("y"), F.array(F.lit(1.0), *z).alias("x"))
 
@@ -53,8 +59,9 @@ class RollingFit:
         names = [c for c in g.columns if c not in keys]
         order = W.partitionBy(*by, F.lit(1)).orderBy("t")
         frame = {"causal": order.rowsBetween(-(self.window + self.horizon), -(self.horizon + 1)), "contaminated": order.rowsBetween(-self.window + 1, 0), "full_sample": order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)}[self.mode]
-        s = g.select(*keys, *[F.sum(c).over(frame).alias(c) for c in names])
-        first = self.window + self.horizon + 2
+        seen = F.lit(self.mode != "full_sample") | (F.col("t") > 0)
+        s = g.select(*keys, *[F.sum(F.when(seen, F.col(c))).over(frame).alias(c) for c in names])
+        first = 0 if self.mode == "full_sample" else self.window + self.horizon + 2
         s = s.where((F.col("t") >= first) & ((F.col("t") - first) % self.stride == 0) & (F.col("m") >= 5 * self.min_n))
         ridge = self.ridge
 
@@ -66,7 +73,7 @@ class RollingFit:
                 for i, j in cells:
                     a[i, j] = a[j, i] = getattr(r, f"g{i}_{j}")
                 size = np.trace(a[1:, 1:]) / max(k - 1, 1)
-                reg = np.eye(k) * ridge * size * 1e-3
+                reg = np.eye(k) * ridge * size
                 reg[0, 0] = 0.0
                 try:
                     out.append(np.linalg.solve(a + reg, c) if size > 0 else None)

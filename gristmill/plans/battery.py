@@ -134,7 +134,9 @@ def shift_rows(p: DataFrame, min_n: int, signal: str = "signal") -> tuple[list[t
 def audit(s: Study, p: DataFrame) -> list[Check]:
     a0 = absent("A0", "statistical", "truncation rebuild")
     if s.recompute_at:
-        probes = list(s.probe_dates) or [int(x) for x in range(10, 60, 10)]
+        n_dates = (p.agg(F.max("t")).first()[0] or 0) + 1
+        first, last = int(0.2 * n_dates), n_dates - s.horizon - 2
+        probes = list(s.probe_dates) or sorted({int(first + (last - first) * k / 11) for k in range(12) if last >= first})
         again = None
         for t in probes:
             d = s.recompute_at(t).select(F.lit(t).alias("t"), "asset", F.col("signal").alias("b"))

@@ -141,25 +141,33 @@ def p3_frozen_config(config: dict, path: str) -> Check:
 
 
 def p4_fill_convention(fill: str | None, bar_includes_signal: bool | None = None) -> Check:
-    if fill is None:
+    """What is declared must be known to be fair; an unknown convention proves neither, whatever else is declared."""
+    if fill is None and bar_includes_signal is None:
         return check("P4", "fill convention", NA, "not declared", blocking=False)
-    if fill in SAME_BAR_FILLS or bar_includes_signal:
-        return check("P4", "fill convention", FAIL, "filled inside the bar that made the signal")
-    return check("P4", "fill convention", PASS if fill in FAIR_FILLS else INCONCLUSIVE, fill)
+    if fill is not None and fill not in FAIR_FILLS + SAME_BAR_FILLS:
+        return check("P4", "fill convention", INCONCLUSIVE, f"unknown convention {fill}")
+    leaks = [f"filled at {fill}, inside the bar that made the signal"] * (fill in SAME_BAR_FILLS) + ["the history holds the current bar"] * bool(bar_includes_signal)
+    return check("P4", "fill convention", FAIL if leaks else PASS, "; ".join(leaks) or (fill or "the current bar is left out"))
 
 
 def p5_external_facts(facts: Sequence[dict]) -> Check:
-    """Each fact: what, expected, observed, and tol, absolute or relative."""
+    """Each fact: what, expected, observed, and tol, absolute or relative. What reads as a number is compared as one; a fact without either value leaves all open."""
 
     def holds(f: dict) -> bool:
-        e, o, tol = f["expected"], f["observed"], f.get("tol", 0.0)
-        if isinstance(e, int | float) and isinstance(o, int | float):
-            return abs(o - e) <= tol or abs(o - e) <= tol * abs(e)
-        return e == o
+        tol = float(f.get("tol", 0.0))
+        try:
+            want, got = float(f["expected"]), float(f["observed"])
+        except (TypeError, ValueError):
+            return f["expected"] == f["observed"]
+        return abs(got - want) <= max(tol, tol * abs(want), 0.0)
 
     if not facts:
         return check("P5", "external facts", NA, "none given", blocking=False)
-    wrong = [f["what"] for f in facts if not holds(f)]
+    named = [(f.get("what", "?"), f) for f in facts]
+    open_ = [what for what, f in named if f.get("expected") is None or f.get("observed") is None]
+    if open_:
+        return check("P5", "external facts", INCONCLUSIVE, f"expected or observed value missing: {open_}")
+    wrong = [what for what, f in named if not holds(f)]
     return check("P5", "external facts", FAIL if wrong else PASS, f"not as known: {wrong}" if wrong else f"{len(facts)} facts hold", evidence={"wrong": wrong})
 
 
@@ -203,18 +211,31 @@ def binomial_tail(n: int, k: int, p: float) -> float:
 
 
 def p8_hindsight(ask: Callable[[str], str] | None, probes: Sequence[dict], controls: Sequence[dict], alpha: float = 0.05) -> Check:
-    """A source must not know what came after its boundary, and must know at least half of what came before."""
+    """A source must not know what came after its boundary, and must know at least half of what came before.
+
+    Hits that the declared chance of guessing explains are an advisory INCONCLUSIVE. Without controls silence passes and says that it
+    may be a refusal. A source that raises has not answered.
+    """
     if ask is None or not probes:
         return check("P8", "hindsight", NA, "no source to ask", blocking=False)
-    if not controls:
-        return check("P8", "hindsight", INCONCLUSIVE, "without control questions silence proves nothing")
-    known = sum(answered(ask(c["question"]), c) for c in controls)
-    if known < 0.5 * len(controls):
-        return check("P8", "hindsight", INCONCLUSIVE, f"only {known} of {len(controls)} control questions answered")
-    hits = sum(answered(ask(q["question"]), q) for q in probes)
-    chance = sum(q.get("chance", 0.0) for q in probes) / len(probes)
-    p = binomial_tail(len(probes), hits, chance) if hits else 1.0
-    return check("P8", "hindsight", FAIL if hits and p < alpha else PASS, f"{hits} of {len(probes)} later facts known (p {p:.3g})", statistic=float(hits), threshold=alpha)
+
+    def known(questions: Sequence[dict]) -> int:
+        def hit(q: dict) -> bool:
+            try:
+                return answered(ask(q.get("question", "")), q)
+            except Exception:
+                return False
+
+        return sum(map(hit, questions))
+
+    before = known(controls)
+    if controls and 2 * before < len(controls):
+        return check("P8", "hindsight", INCONCLUSIVE, f"only {before} of {len(controls)} control questions answered")
+    hits, n = known(probes), len(probes)
+    if not hits:
+        return check("P8", "hindsight", PASS, f"none of {n} later facts known" + ("" if controls else "; without control questions that may be a refusal"), statistic=0.0, threshold=alpha)
+    p = binomial_tail(n, hits, sum(q.get("chance", 0.0) for q in probes) / n)
+    return check("P8", "hindsight", FAIL if p <= alpha else INCONCLUSIVE, f"{hits} of {n} later facts known (p {p:.3g})", blocking=p <= alpha, statistic=float(hits), threshold=alpha)
 
 
 def p9_seal_respected(panel: DataFrame, columns: list[str], seal: SealedSplit | None, horizon: int = 1, unsealed: bool = False) -> Check:

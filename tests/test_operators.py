@@ -159,7 +159,42 @@ def test_rolling_fit_is_causal_and_full_sample_is_not(panel):
     df = labels.forward_returns(panel[2], 1).withColumn("f1", F.col("signal")).withColumn("f2", F.col("signal") * F.col("signal"))
     args = {"features": ("f1", "f2"), "window": 15, "stride": 4, "min_n": 20}
     assert all(r.max_diff < 1e-10 for r in RollingFit(**args).rebuild_difference(df, (22, 30)).collect())
-    assert any(r.max_diff > 1e-6 for r in RollingFit(**args, mode="full_sample").rebuild_difference(df, (22, 30)).collect())
+    assert any(r.max_diff > 1e-6 for r in RollingFit(**args, mode="full_sample").rebuild_difference(df, (20, 28)).collect())  # its dates start at 0
+
+
+@pytest.mark.parametrize(("mode", "standardize"), [("causal", "cross-section"), ("contaminated", "cross-section"), ("full_sample", "cross-section"), ("causal", "full-sample")])
+def test_rolling_fit_is_that_of_a_loop(spark, mode, standardize):
+    """Every forecast against least squares written out date by date."""
+    from statistics import NormalDist
+
+    g = np.random.default_rng(17)
+    dates, assets, window, stride, ridge, min_n = 30, 26, 8, 3, 0.05, 20
+    x = g.normal(size=(dates, assets, 2))
+    x[5, :, 1] = 1.0  # no spread: that date has no rows
+    fwd = g.normal(size=(dates, assets)) + x[:, :, 0]
+    mask = g.random((dates, assets)) < 0.95
+    rows = [(t, f"a{a:02d}", bool(mask[t, a]), float(fwd[t, a]) if t < dates - 1 else None, float(x[t, a, 0]), float(x[t, a, 1])) for t in range(dates) for a in range(assets)]
+    df = spark.createDataFrame(rows, "t int, asset string, mask boolean, fwd double, f1 double, f2 double")
+    axis = 0 if standardize == "full-sample" else 1
+    sd = x.std(axis, keepdims=True)
+    z = np.clip((x - x.mean(axis, keepdims=True)) / np.where(sd > 1e-12, sd, np.nan), -5, 5)
+    parts = {}
+    for t in range(dates - 1):
+        m = np.flatnonzero(mask[t] & np.isfinite(z[t]).all(1))
+        if len(m) >= min_n:
+            rank = np.argsort(np.argsort(fwd[t, m])) + 1
+            parts[t] = (m, np.column_stack([np.ones(len(m)), z[t, m]]), np.array([NormalDist().inv_cdf(r / (len(m) + 1)) for r in rank]))
+    want = {}
+    for t in range(0 if mode == "full_sample" else window + 3, dates, stride):
+        train = {"causal": range(t - 1 - window, t - 1), "contaminated": range(t - window + 1, t + 1), "full_sample": range(1, dates)}[mode]
+        got = [parts[d] for d in train if d in parts]
+        if t in parts and sum(len(p[0]) for p in got) >= 5 * min_n:
+            a, b = sum(p[1].T @ p[1] for p in got), sum(p[1].T @ p[2] for p in got)
+            a[1:, 1:] += ridge * np.trace(a[1:, 1:]) / 2 * np.eye(2)
+            want |= {(t, f"a{i:02d}"): v for i, v in zip(parts[t][0], parts[t][1] @ np.linalg.solve(a, b), strict=True)}
+    out = {(r.t, r.asset): r.signal for r in RollingFit(features=("f1", "f2"), window=window, stride=stride, min_n=min_n, ridge=ridge, mode=mode, standardize=standardize).predict(df).collect()}
+    assert len(want) > 100 and set(out) == set(want)
+    assert all(out[k] == pytest.approx(v, abs=1e-7) for k, v in want.items())
 
 
 def test_tokens_and_search(spark):

@@ -59,6 +59,12 @@ def test_hindsight():
     assert process.p8_hindsight(lambda q: "yes", probes, controls).outcome == FAIL
     assert process.p8_hindsight(lambda q: "yes" if q[0] == "c" else "no idea", probes, controls).outcome == PASS
     assert process.p8_hindsight(lambda q: "", probes, controls).outcome == INCONCLUSIVE
+    assert process.p4_fill_convention(None, True).outcome == FAIL and process.p4_fill_convention("x", True).outcome == INCONCLUSIVE and process.p4_fill_convention(None, False).outcome == PASS
+    assert process.p5_external_facts([{"what": "n", "expected": "3000", "observed": 3000}]).outcome == PASS
+    assert process.p5_external_facts([{"what": "n", "expected": 1}]).outcome == INCONCLUSIVE
+    lucky = process.p8_hindsight(lambda q: "yes", [{"question": "q", "answer": "yes", "chance": 0.5}], [])
+    assert (lucky.outcome, lucky.blocking) == (INCONCLUSIVE, False)
+    assert process.p8_hindsight(lambda q: 1 / 0, probes, []).outcome == PASS
 
 
 def test_validator_control(spark):
