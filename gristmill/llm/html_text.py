@@ -23,8 +23,12 @@ SCOPES = frozenset("html body article section div main aside nav header footer t
 NOT_TEXT = frozenset("head nav footer aside form menu button select dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus feedback footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion reactions replies responses share sharing sidebar signup sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# words that say nothing of what an element holds
+NEUTRAL = frozenset("area bar bottom box block container content entry form group inner item left line link links list main outer page panel reader readers right section site social thread top user users visitor wrap wrapper".split())
+# containers, whose names count; headings, paragraphs and the like are what an article is made of
+CONTAINERS = frozenset("div section aside ul ol dl table center fieldset details".split())
 WHOLE = frozenset("html body main article".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
@@ -44,8 +48,20 @@ class Node:
         self.density = self.sum = 0.0
 
 
+def furniture(value: str) -> bool:
+    """Whether a class or id says that a container is page furniture: a name made of furniture words and neutral ones only.
+
+    "comments", "cookie-notice" and "ad" are; "related-work", "with-sidebar" and "comments-on-method" are not.
+    """
+    for name in value.split():
+        parts = WORD.findall(name)
+        if any(w in NAMES for w in parts) and all(w in NAMES or w in NEUTRAL or w.isdigit() for w in parts):
+            return True
+    return False
+
+
 def unwanted(name: str, attrs: str, inside_article: bool) -> bool:
-    """True for elements that hold no article text, by element, role, visibility or name."""
+    """True for elements that hold no article text, by element, role, visibility or, for containers, their name."""
     if name in NOT_TEXT or (name == "header" and not inside_article):
         return True
     if not attrs or name in WHOLE:
@@ -53,7 +69,7 @@ def unwanted(name: str, attrs: str, inside_article: bool) -> bool:
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            if not NAMES.isdisjoint(WORD.findall(value)) and not (inside_article and name == "header"):
+            if name in CONTAINERS and furniture(value):
                 return True
         elif (key == "role" and value in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True

@@ -20,7 +20,7 @@ def uniform(key: Column, *salt: object) -> Column:
 
 
 def tree(shards: int, weights: list[float] | None = None) -> dict[int, dict[int, dict[int, float]]]:
-    """region -> rack -> shard -> weight. A new shard opens a new rack or region when the last one is full."""
+    """region -> rack -> shard -> weight."""
     out: dict[int, dict[int, dict[int, float]]] = {}
     for s in range(shards):
         rack = s // SHARDS_PER_RACK
@@ -28,33 +28,44 @@ def tree(shards: int, weights: list[float] | None = None) -> dict[int, dict[int,
     return out
 
 
-def descend(key: Column, node: dict, first: int = 0) -> tuple[Column, Column]:
-    """(arrival, shard) of the winner below a node.
+def weight(node: dict | float) -> float:
+    return sum(weight(c) for c in node.values()) if isinstance(node, dict) else max(float(node), 0.0)
 
-    A shard of weight w arrives at -ln(u)/w, an exponential of rate w, u being its hash draw;
-    a rack arrives with its first shard and a region with its first rack, so each child wins
-    with its share of the node's weight. A changed weight moves the arrival of its own
-    ancestors only: rows leave or enter that subtree and no others, and what a heavier or new
-    shard takes goes to that very shard. Shards below ``first`` are left out.
+
+def draw(key: Column, level: str, children: dict[int, float]) -> Column:
+    """The child that wins: each arrives at -ln(u)/w, an exponential of rate w, u being its own hash draw; the first one wins, with its share of the weight.
+
+    A child's arrival hangs on its own weight only: one that grows takes rows into itself, one that shrinks gives rows up, and
+    none move between the others.
+    """
+    arrivals = [F.struct((-F.ln(uniform(key, level, name)) / F.lit(w)).alias("arrival"), F.lit(name).alias("name")) for name, w in children.items() if w > 0]
+    return (F.array_min(F.array(*arrivals)) if len(arrivals) > 1 else arrivals[0])["name"]
+
+
+def descend(key: Column, node: dict, levels: tuple[str, ...] = ("region", "rack", "shard")) -> Column:
+    """Goes down from the root: a weighted draw among the regions, then among the racks of that region, then among its shards.
+
+    Only draws on the way down are made. A changed weight changes the weights of its own ancestors: rows move between
+    such a region and the others, inside it between such a rack and the others, inside that between its shards;
+    subtrees without a change exchange no row.
     """
-    arrivals = []
+    chosen = draw(key, levels[0], {name: weight(c) for name, c in node.items()})
+    out = F.lit(None).cast("int")
     for name, child in node.items():
-        if isinstance(child, dict):
-            got = descend(key, child, first)
-            if got is not None:
-                arrivals.append(got)
-        elif child > 0 and name >= first:
-            arrivals.append((-F.ln(uniform(key, "shard", name)) / F.lit(child), F.lit(name)))
-    if not arrivals:
-        return None
-    if len(arrivals) == 1:
-        return arrivals[0]
-    best = F.array_min(F.array(*[F.struct(a.alias("arrival"), s.alias("shard")) for a, s in arrivals]))
-    return best["arrival"], best["shard"]
+        if weight(child) > 0:
+            below = descend(key, child, levels[1:]) if isinstance(child, dict) else F.lit(name)
+            out = F.when(chosen == name, below).otherwise(out)
+    return out.cast("int")
 
 
 def shard_of(key: Column, shards: int, weights: list[float] | None = None) -> Column:
-    return descend(key, tree(shards, weights))[1].cast("int")
+    return descend(key, tree(shards, weights))
+
+
+def grown_shard_of(key: Column, shards: int, weights: list[float] | None = None, more: float = 1.0) -> Column:
+    """The shard after one more of weight ``more`` opens: it is a subtree of its own beside the old root, so it takes rows into itself only."""
+    old = weight(tree(shards, weights))
+    return F.when(draw(key, "growth", {0: old, 1: more}) == 1, F.lit(shards)).otherwise(shard_of(key, shards, weights)).cast("int")
 
 
 def shard(df: DataFrame, shards: int = 8, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
@@ -64,7 +75,7 @@ def shard(df: DataFrame, shards: int = 8, weights: list[float] | None = None, id
     takes rows only into itself (``grown_shard``). Returns doc_id, size long (UTF-8 bytes plus
     1; null text 1), text_crc32 long (null text as empty), law, shard int, slot long (gapless from 0 in each
     shard, in hash order), grown_shard int. A null id is a key of its own; rows that repeat an id share its shard and get
-    slots of their own. An empty table gives no rows; extra columns are ignored.
+    slots of their own; equal texts under different ids are keys of their own and may part. An empty table gives no rows; extra columns are ignored.
 
     Slots come without sorting a shard in one task: repeated rows are counted before the shuffle
     and numbered as a run, rows fall into groups by hash, and only the rows of one small group
@@ -73,10 +84,9 @@ def shard(df: DataFrame, shards: int = 8, weights: list[float] | None = None, id
     ws = ws or Workspace(df.sparkSession, "shard")
     key = F.struct(F.col(id_col))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    more = None if weights is None else [*weights, 1.0]
     rows = df.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        shard_of(key, shards, weights).alias("shard"), shard_of(key, shards + 1, more).alias("grown_shard"), F.xxhash64(F.col(id_col), text).alias("h"),
+        shard_of(key, shards, weights).alias("shard"), grown_shard_of(key, shards, weights).alias("grown_shard"), F.xxhash64(F.col(id_col), text).alias("h"),
     )
     rows = ws.write(rows.groupBy(*rows.columns).count(), "rows")
     groups = max(1, rows.count() // (shards * ROWS_PER_SLOT_GROUP))

@@ -293,12 +293,25 @@ def test_sharding(docs, empty):
 
 
 def test_shard_weights(spark):
-    d = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    """Rows move across the ancestors of a changed weight only: its shard, its rack, its region."""
+    d = spark.range(40_000).select(F.col("id").alias("doc_id"))
+    key = F.col("doc_id")
     w = [1, 1, 1, 1, 1, 1, 1, 3]
-    before, after = sharding.shard_of(F.col("doc_id"), 8), sharding.shard_of(F.col("doc_id"), 8, w)
-    moved = {(r[0], r[1]): r[2] for r in d.groupBy(before, after).count().collect()}
-    assert all(a == b or b == 7 for a, b in moved)
-    assert sum(n for (_, b), n in moved.items() if b == 7) == pytest.approx(6000, rel=0.05)
+    moved = {(r[0], r[1]): r[2] for r in d.groupBy(sharding.shard_of(key, 8), sharding.shard_of(key, 8, w)).count().collect()}
+    for (a, b), _ in moved.items():
+        if a // 4 == b // 4 == 0:  # the other region
+            assert a == b
+        elif a // 4 == b // 4:
+            assert a == b or b // 2 == 3  # into the rack of the changed shard
+            assert a // 2 != 3 or a == b or b == 7
+        else:
+            assert (a // 4, b // 4) == (0, 1)  # into its region
+    to = Counter()
+    for (_, b), n in moved.items():
+        to[b] += n
+    assert all(to[s] == pytest.approx(4000 * w[s], rel=0.06) for s in range(8))
+    grown = {(r[0], r[1]): r[2] for r in d.groupBy(sharding.shard_of(key, 8), sharding.grown_shard_of(key, 8)).count().collect()}
+    assert all(b in (a, 8) for a, b in grown) and sum(n for (_, b), n in grown.items() if b == 8) == pytest.approx(40_000 / 9, rel=0.06)
 
 
 @pytest.fixture(scope="module")
@@ -514,6 +527,20 @@ def test_html(spark):
     assert [r.text for r in got][1:3] == ["", ""]
 
 
+@pytest.mark.parametrize("keep", ['<div class="related-work"><p>{}</p></div>', '<h2 id="comments-on-method">{}</h2>', '<p class="notice">{}</p>', '<div class="content with-sidebar"><p>{}</p></div>', '<section id="reply-to-critics"><p>{}</p></section>', '<ul><li>{}</li></ul>', "<table><tr><td>{}</td></tr></table>", "<blockquote>{}</blockquote>"])
+def test_names_alone_drop_no_article_text(keep):
+    words = "some forty words of this very article that no list of names may take from it, long enough to count"
+    page = f"<body><nav><a href=/>home</a></nav><article><h1>Title</h1><p>First {words}.</p>{keep.format(words)}<p>Last {words}.</p></article><footer>end</footer></body>"
+    assert main_text(page).split("\n\n") == ["Title", f"First {words}.", words, f"Last {words}."]
+
+
+@pytest.mark.parametrize("drop", ['<div class="ad">{}</div>', '<div class="reader-feedback"><p>{}</p></div>', '<section id="comments"><p>{}</p></section>', '<div class="box cookie-notice">{}</div>', "<aside>{}</aside>", "<form>{}</form>", '<div role="alert">{}</div>', '<ul class="share-links"><li>{}</li></ul>'])
+def test_furniture_inside_the_article_goes(drop):
+    words = "words that many readers would say below an article or that somebody paid for to be seen there"
+    page = f"<body><article><h1>Title</h1><p>First {words}.</p>{drop.format(words)}<p>Last {words}.</p></article></body>"
+    assert main_text(page).split("\n\n") == ["Title", f"First {words}.", f"Last {words}."]
+
+
 def test_self_closed_svg_is_empty():
     assert main_text("<article><p>one</p><svg class='x' /><p>two <math/>three</p><svg><path/>no</svg></article>") == "one\n\ntwo three"
 
