@@ -67,8 +67,9 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Bounds what one Arrow batch of long texts can hold."""
+    """Bounds what one Arrow batch, and one batch of the Parquet reader, can hold of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(4 * rows))
 
 
 def words(text: str | None) -> list[bytes]:

@@ -23,6 +23,8 @@ GAP = 0.1
 MIN_WORDS = 51
 #: Bits of a word's place beside a text's id in 64 bits.
 PLACE_BITS = 26
+#: Parts of the seeds, by hash, that are joined each by itself, so that a task sorts and counts few of them at a time.
+SLICES = 4
 SIMILARITY = 0.75
 SHIFT = 8
 AGREE = 4
@@ -280,7 +282,8 @@ class Search:
 
     def link(self, all_seeds: DataFrame) -> DataFrame:
         """Chains of each text and the texts that its seeds occur in first (xs, ys), and a row (xs, hs) of its seeds that others have earlier."""
-        matches = all_seeds.join(self.first(all_seeds, "h", "x").hint("merge"), "h").where(OTHER)  # one plan at all sizes
+        slices = [all_seeds.where(F.pmod("h", F.lit(SLICES)) == i) for i in range(SLICES)]
+        matches = union([s.join(self.first(s, "h", "x").hint("merge"), "h").where(OTHER) for s in slices])  # one plan at all sizes
 
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cols = ["doc", "k", "adoc", "ak", "xs", "ys", "hs"]
