@@ -41,7 +41,7 @@ HAS_CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 16
 LEVEL = 1
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 END_ID = 0
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 SAFE_CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
