@@ -29,7 +29,8 @@ def load(spark: SparkSession, path: str | None = None) -> DataFrame:
 def append(spark: SparkSession, record: dict, path: str | None = None, dry_run: bool = False) -> dict:
     """Appends one record after validation; raises ValueError with every fault found.
 
-    Returns whether it was written and the three commonest causes before and after.
+    Returns its id, whether it was written, how many records and projects there are now (a dry run
+    adds no record), the three commonest causes before and after, whether these changed, and whether the project is new.
     """
     from ..operators import retrieval, taxonomy
 
@@ -49,7 +50,9 @@ def append(spark: SparkSession, record: dict, path: str | None = None, dry_run:
     if faults:
         raise ValueError("; ".join(faults))
     top = lambda d: [r.mode for r in retrieval.checklist(d, taxonomy.modes(spark)).limit(3).collect()]
-    out = {"written": not dry_run, "before": top(old), "after": top(both)}
+    n, projects, seen = old.agg(F.count(F.lit(1)), F.count_distinct("project"), F.coalesce(F.bool_or(F.col("project") == record.get("project", "")), F.lit(False))).first()
+    out = {"id": record["id"], "written": not dry_run, "records": n + (not dry_run), "projects": projects + (not seen), "before": top(old), "after": top(both), "new_project": not seen}
+    out["changed"] = out["before"] != out["after"]
     if not dry_run:
         place.mkdir(parents=True, exist_ok=True)
         with (place / "records.jsonl").open("a") as f:
@@ -57,6 +60,17 @@ def append(spark: SparkSession, record: dict, path: str | None = None, dry_run:
     return out
 
 
+def render_append(done: dict) -> str:
+    """What append returned, as text."""
+    out = [f"{done['id']}: " + ("written" if done["written"] else "valid, not written (dry run)")]
+    out.append(f"    {done['records']} records of {done['projects']} projects" + (", the first of its project" if done["new_project"] else ""))
+    out.append(f"    commonest causes: {', '.join(done['after']) or '-'}")
+    if done["changed"]:
+        out.append(f"    these were: {', '.join(done['before']) or '-'}; look at the new ones first in the next study")
+    out.append("    a cause that no mode names deserves a mode of its own, not the nearest key")
+    return "\n".join(out)
+
+
 def render(hits: DataFrame) -> str:
     """Records as text; withdrawn ones are shown as such and give no advice."""
     out = []

@@ -1,5 +1,6 @@
 """Operators against small inputs with known answers, and numpy loops."""
 
+import hashlib
 from datetime import date, timedelta
 from statistics import NormalDist
 
@@ -130,6 +131,70 @@ def test_matched_selection_keeps_turnover(panel):
     assert all(len(drawn[t] & drawn[t - 1]) >= len(real[t] & real[t - 1]) for t in real if t - 1 in real and real[t] != real[t - 1])
 
 
+def md5_order(names, draw, t):
+    return sorted(names, key=lambda a: hashlib.md5(f"{draw}|{t}|{a}".encode()).hexdigest())
+
+
+def test_random_selection_matches_a_loop(panel):
+    """Breadth that grows, shrinks and stops, picks held for three dates, unusable names left out."""
+    df = panel[2].withColumn("mask", (F.col("asset") + F.col("t")) % 7 != 0)
+    want = {t: [4, 9, 2, 0, 6][t // 5 % 5] for t in range(60) if t % 11}
+    counts = df.sparkSession.createDataFrame(list(want.items()), "t int, want int")
+    got = {}
+    for r in nulls.random_selection(df, counts, 2, hold=3).collect():
+        got.setdefault((r.draw, r.t), set()).add(r.asset)
+    for draw in (0, 1):
+        bought = []  # (date, asset)
+        for t in range(60):
+            held = {a for s, a in bought if t < s + 3}
+            free = [a for a in range(40) if (a + t) % 7 and a not in held]
+            new = md5_order(free, draw, t)[: max(0, want.get(t, 0) - len(held))]
+            bought += [(t, a) for a in new]
+            assert got.get((draw, t), set()) == held | set(new)
+    assert any(got.get((0, t)) != got.get((1, t)) for t in range(60))
+
+
+def test_residual_on_several_controls_is_least_squares(spark):
+    """Collinear controls, rows without a control or outside the mask, dates with too few rows."""
+    g = np.random.default_rng(23)
+    x, y = g.normal(size=(6, 12, 2)), g.normal(size=(6, 12))
+    x[1, :, 1] = 2 * x[1, :, 0]
+    x[2, 3:, 0] = np.nan
+    x[3, 4, 1] = np.nan
+    mask = g.random((6, 12)) < 0.9
+    cell = lambda v: None if np.isnan(v) else float(v)
+    rows = [(t, a, bool(mask[t, a]), float(y[t, a]), cell(x[t, a, 0]), cell(x[t, a, 1])) for t in range(6) for a in range(12)]
+    df = spark.createDataFrame(rows, "t int, asset long, mask boolean, signal double, c1 double, c2 double")
+    got = {(r.t, r.asset): r.residual for r in cross_section.residual_many(df, "signal", ["c1", "c2"]).collect()}
+    want = {}
+    for t in range(6):
+        m = np.flatnonzero(mask[t] & np.isfinite(x[t]).all(1))
+        if len(m) >= 7:
+            q, _ = np.linalg.qr(np.column_stack([np.ones(len(m)), x[t, m] if t != 1 else x[t, m, :1]]))
+            want |= {(t, a): v for a, v in zip(m.tolist(), y[t, m] - q @ (q.T @ y[t, m]), strict=True)}
+    assert {t for t, _ in want} == {0, 1, 3, 4, 5} and set(got) == set(want)
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_refit_on_shuffled_labels_is_that_of_a_loop(panel):
+    """Each draw's labels permuted by hand, fitted alone and scored against themselves."""
+    df = labels.forward_returns(panel[2], 1).withColumn("f1", F.col("signal"))
+    fit = RollingFit(features=("f1",), window=15, stride=4, min_n=20)
+    got = {r.draw: r.stat for r in fit.shuffled_ic(df, 2).collect()}
+    fwd = {}
+    for r in df.where("mask and fwd is not null").select("t", "asset", "fwd").collect():
+        fwd.setdefault(r.t, {})[r.asset] = r.fwd
+    for draw in (0, 1):
+        own = {(t, a): v[b] for t, v in fwd.items() for a, b in zip(sorted(v), md5_order(v, draw, t), strict=True)}
+        drawn = df.sparkSession.createDataFrame([(t, a, v) for (t, a), v in own.items()], "t int, asset long, fwd double")
+        dates = {}
+        for r in fit.refit(df, drawn).collect():
+            dates.setdefault(r.t, []).append((r.signal, own[r.t, r.asset]))
+        rank = lambda v: np.argsort(np.argsort(v))
+        ics = [np.corrcoef(rank([s for s, _ in v]), rank([w for _, w in v]))[0, 1] for v in dates.values()]
+        assert len(ics) > 5 and got[draw] == pytest.approx(np.mean(ics), abs=1e-9)
+
+
 def test_ema(spark):
     df = frame(spark, np.array([[1.0], [2.0], [4.0]]))
     assert [r.ema for r in labels.ema(df, "ret", 3).orderBy("t").collect()] == pytest.approx([1.0, 1.5, 2.75])

@@ -160,8 +160,11 @@ def test_increment(spark):
 
 def test_priors_round_trip(spark, tmp_path):
     record = {"id": "r1", "claim": "rotation wins", "verdict": "REJECTED", "killed_by": ["cost-eats-it"], "evidence": "the net return was below zero", "lesson": "price the turnover before believing it"}
-    assert priors.append(spark, record, str(tmp_path), dry_run=True)["written"] is False
-    assert priors.append(spark, record, str(tmp_path))["after"] == ["cost-eats-it"]
+    dry = priors.append(spark, record, str(tmp_path), dry_run=True)
+    assert not dry["written"] and (dry["records"], dry["projects"]) == (0, 1) and "dry run" in priors.render_append(dry)
+    first = priors.append(spark, record, str(tmp_path))
+    assert first["after"] == ["cost-eats-it"] and first["changed"] and first["new_project"] and first["records"] == 1
+    assert "1 records of 1 projects, the first of its project" in priors.render_append(first)
     with open(tmp_path / "records.jsonl", "a") as f:
         f.write("\n// a comment\n")
     assert priors.load(spark, str(tmp_path)).count() == 1
@@ -169,6 +172,8 @@ def test_priors_round_trip(spark, tmp_path):
         with pytest.raises(ValueError):
             priors.append(spark, bad, str(tmp_path))
     assert "price the turnover" in priors.render(priors.load(spark, str(tmp_path)))
+    again = priors.append(spark, record | {"id": "r4"}, str(tmp_path))
+    assert not again["changed"] and not again["new_project"] and (again["records"], again["projects"]) == (2, 1)
 
 
 def test_taxonomy_and_scaffold(spark, tmp_path):
