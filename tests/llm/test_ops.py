@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gristmill.llm import minhash, mixing, nndescent, packing, passages, quality, sharding, tokens, topk
 from gristmill.llm.common import Workspace, components, words
 from gristmill.llm.html_text import extract, main_text
-from gristmill.llm.queries import tokenizer_path
+from gristmill.llm.queries import OP1_SQL, op1_minhash, tokenizer_path
 
 WORDS = [f"w{i}" for i in range(4000)]
 CLASH = "size int, h int, shard int, label string, n int, sig string, rid int, target int, score int"
@@ -75,6 +75,19 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_query_gives_the_rows_and_columns_of_its_sql(spark, docs, tmp_path):
+    import duckdb
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    res = con.execute(OP1_SQL)
+    got = op1_minhash(spark, str(tmp_path))
+    assert got.columns == [c[0] for c in res.description]
+    assert [t for _, t in got.dtypes] == ["bigint", "bigint", "bigint", "boolean"]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(res.fetchall())
+
+
 def test_large_nodes_branch_and_finish(spark, monkeypatch):
     """Nodes far over the limit, one component and many, give the exact components."""
     monkeypatch.setattr(minhash, "NODE_LIMIT", 8)
