@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,25 +21,29 @@ HIDDEN = 24
 VOCABULARY = 20_000
 FIT_ROWS = 4_000
 FIT_BYTES = 24_000_000
+#: Words of a text whose neighbours are summed at a time.
+PIECE = 4096
 THRESHOLD = 0.7
 TOKEN = re.compile(r"[^\W\d_]+|\d+|([^\w\s]|_)\1*")
 
 
-def tokens(text: str | None) -> list[str]:
+def stream(text: str | None) -> Iterator[str]:
     """Lower-cased words, numbers, and runs of one mark; then marks for form, which are words like others.
 
     <caps> stands beside a word of capitals, <again> in place of a word equal to the one before it.
     """
-    out: list[str] = []
     last = ""
     for m in TOKEN.finditer(text or ""):
         w = m.group()
         low = w.lower()
-        out.append("<again>" if low == last else low if len(low) <= 24 else f"{low[:8]}<{zlib.crc32(low.encode('utf-8', 'surrogatepass')):x}>")
+        yield "<again>" if low == last else low if len(low) <= 24 else f"{low[:8]}<{zlib.crc32(low.encode('utf-8', 'surrogatepass')):x}>"
         if len(w) > 1 and w.isupper():
-            out.append("<caps>")
+            yield "<caps>"
         last = low
-    return out
+
+
+def tokens(text: str | None) -> list[str]:
+    return list(stream(text))
 
 
 def index_vectors(words: list[str]) -> np.ndarray:
@@ -63,7 +68,7 @@ class Model:
 
     def pooled(self, text: str | None) -> np.ndarray:
         """The mean vector of all words of a text, and how many there are (log scale)."""
-        count = Counter(tokens(text))
+        count = Counter(stream(text))
         n = sum(count.values())
         out = np.zeros(DIMS + 1, np.float64)
         if n:
@@ -84,27 +89,38 @@ class Model:
 
 
 def word_vectors(texts: list[str]) -> Model:
-    """Random indexing over the fitting texts: a word's vector sums the index vectors of its neighbours and its own."""
-    lists = [tokens(t) for t in texts]
-    df = Counter(w for ws in lists for w in set(ws))
-    names = [w for w, c in sorted(df.items(), key=lambda x: (-x[1], x[0])) if c > 1][:VOCABULARY]
+    """Random indexing over the fitting texts: a word's vector sums the index vectors of its neighbours and its own.
+
+    Texts are held as numbers of words and summed in pieces: as strings, their words are many times the text.
+    """
+    number: dict[str, int] = {}
+    lists = [np.fromiter((number.setdefault(w, len(number)) for w in stream(t)), np.int32) for t in texts]
+    df = np.zeros(len(number), np.int64)
+    for ids in lists:
+        df[np.unique(ids)] += 1
+    names = [w for _, w in sorted((-c, w) for w, c in zip(number, df.tolist(), strict=True) if c > 1)[:VOCABULARY]]
     at = {w: i for i, w in enumerate(names)}
     index = np.vstack([index_vectors(names), np.zeros((1, DIMS), np.float32), index_vectors(["<unknown>"])])
     none, unknown = len(names), len(names) + 1
+    row = np.full(len(number), unknown, np.int32)
+    row[np.array([number[w] for w in names], np.int64)] = np.arange(len(names))
+    del number
     context = np.zeros((len(names) + 2, DIMS), np.float32)
     seen = np.zeros(len(names) + 2)
-    for ws in lists:
-        rows = np.array([at.get(w, unknown) for w in ws], np.int64)
-        near = np.full((len(rows), 2 * WINDOW), none, np.int64)
-        for j in range(1, WINDOW + 1):
-            near[j:, j - 1] = rows[:-j]
-            near[:-j, WINDOW + j - 1] = rows[j:]
-        np.add.at(context, rows, index[near].sum(1))
-        np.add.at(seen, rows, 1)
+    for ids in lists:
+        rows = np.pad(row[ids], WINDOW, constant_values=none)
+        for start in range(WINDOW, WINDOW + len(ids), PIECE):
+            stop = min(start + PIECE, WINDOW + len(ids))
+            near = sum(index[rows[start + j : stop + j]] for j in range(-WINDOW, WINDOW + 1) if j)
+            np.add.at(context, rows[start:stop], near)
+        np.add.at(seen, row[ids], 1)
     context /= np.sqrt(np.maximum(seen, 1))[:, None]
     context /= np.maximum(np.linalg.norm(context, axis=1), 1e-9)[:, None]
-    vectors = index / np.sqrt(NONZERO) + 0.5 * context
-    return Model(at, np.vstack([vectors[:none], vectors[unknown]]).astype(np.float64))
+    vectors = index / np.sqrt(NONZERO)
+    context *= 0.5
+    vectors += context
+    vectors[none] = vectors[unknown]
+    return Model(at, vectors[: none + 1].astype(np.float64, copy=False))
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 60) -> Model:

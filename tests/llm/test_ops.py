@@ -212,6 +212,38 @@ def test_hypergeometric_law(spark):
     assert mean == pytest.approx(4.0, abs=0.01) and var == pytest.approx(10 * 0.4 * 0.6 * 40 / 49, abs=0.02)
 
 
+def test_word_vectors_in_little_memory(monkeypatch):
+    """The driver fits without the words of its texts as strings, and pieces give the sums of whole texts."""
+    import tracemalloc
+
+    g = np.random.default_rng(4)
+    texts = [" ".join(f"v{i}" for i in g.integers(0, 200, n)) for n in (100_000, 1, 0, *[100] * 500)]
+    tracemalloc.start()
+    whole = quality.word_vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    few = [t for t in texts if len(t) < 1000][:40] + ["solo Solo SOLO once", None]
+    lists = [quality.tokens(t) for t in few]
+    model = quality.word_vectors(few)
+    names = list(model.vocabulary)
+    index = dict(zip([*names, None], quality.index_vectors([*names, "<unknown>"]), strict=True))
+    context, seen = {w: np.zeros(quality.DIMS) for w in index}, Counter()
+    for ws in lists:
+        ws = [w if w in index else None for w in ws]
+        for i, w in enumerate(ws):
+            seen[w] += 1
+            for j in range(max(0, i - quality.WINDOW), min(len(ws), i + quality.WINDOW + 1)):
+                context[w] += index[ws[j]] if j != i else 0
+    for w, v in zip([*names, None], model.vectors, strict=True):
+        c = context[w] / np.sqrt(max(seen[w], 1))
+        assert np.allclose(v, index[w] / np.sqrt(quality.NONZERO) + 0.5 * c / max(np.linalg.norm(c), 1e-9), atol=1e-5)
+    monkeypatch.setattr(quality, "PIECE", 7)
+    again = quality.word_vectors(texts)
+    assert again.vocabulary == whole.vocabulary and np.array_equal(again.vectors, whole.vectors)
+    assert len(quality.word_vectors([]).vocabulary) == 0
+
+
 def test_quality(spark, docs, empty):
     g = np.random.default_rng(4)
     rows, labels = [], []
