@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+#: Share of the largest heap that the driver's JVM may hold committed before a staged write collects it.
+HEAP_SHARE = 0.6
+
+
+def trim(spark: SparkSession) -> bool:
+    """Hands memory that the driver's JVM freed outside its heap (compilers, buffers) back to the system; False on a JVM that cannot.
+
+    The C library keeps such memory in an arena a thread, which in a long session is hundreds of megabytes.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.java.lang.Class.forName(kind)
+        given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given[1] = "systemTrimNativeHeap"
+        call = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
 class Workspace:
     """Tables written to the shared folder, so that a lost executor costs one stage and lineage stays short."""
 
@@ -39,9 +63,14 @@ class Workspace:
         return f"{self.root}/{label}"
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
-        """Writes df as Parquet and reads it back."""
+        """Writes df as Parquet and reads it back; then the driver returns freed memory, after a collection if its heap has grown near its bound."""
         schema = df.schema
         df.write.mode("overwrite").parquet(self.path(label))
+        heap = self.spark._jvm.java.lang.Runtime.getRuntime()
+        if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+            self.release()
+        else:
+            trim(self.spark)
         return self.spark.read.schema(schema).parquet(self.path(label))
 
     def drop(self, *labels: str) -> None:
@@ -52,9 +81,10 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps: it does once the driver has collected their plans."""
+        """Lets Spark delete the shuffle files of finished steps, as it does once the driver has collected their plans, and returns the driver's freed memory."""
         gc.collect()
         self.spark._jvm.System.gc()
+        trim(self.spark)
 
 
 #: Rows of a few numbers each that may be sent to every executor, some ten megabytes.

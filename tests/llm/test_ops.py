@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import minhash, mixing, nndescent, packing, passages, quality, sharding, tokens, topk
+from gristmill.llm import common, minhash, mixing, nndescent, packing, passages, quality, sharding, tokens, topk
 from gristmill.llm.common import Workspace, components, words
 from gristmill.llm.html_text import extract, main_text
 from gristmill.llm.queries import OP1_SQL, op1_minhash, tokenizer_path
@@ -167,6 +167,19 @@ def test_components_of_a_long_chain(spark, monkeypatch, small):
     assert components(Workspace(spark, "t"), edges.where("false"), "c").count() == 0
 
 
+def test_staged_writes_return_memory_of_the_driver(spark, monkeypatch):
+    jvm = spark._jvm
+    collected = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    ws, trims = Workspace(spark, "memory"), []
+    real = common.trim
+    monkeypatch.setattr(common, "trim", lambda s: trims.append(real(s)))
+    before = collected()
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
+    assert ws.write(spark.range(5), "a").count() == 5 and trims == [True] and collected() == before
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
+    assert ws.write(spark.range(5), "b").count() == 5 and trims == [True, True] and collected() > before
+
+
 def test_mixture(docs, empty):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == docs.count()
